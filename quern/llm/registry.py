@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import simhash
-from quern.llm.common import table
+from quern.llm import credentials, flac, langid, positions, sharding, simhash
+from quern.llm.common import crc_mod, table
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,37 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash_dedup": op6_simhash_dedup}
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positions.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select(F.col("key").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4)
+    model = langid.fit(docs, train=fold != 2)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", of(1).alias("n_assign"), of(2).alias("n_access"), of(3).alias("n_hex"), F.sha2(credentials.listed(F.col("base")), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    media = flac.encode_column(docs, "body").select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), "media")
+    back, payload = flac.read_back(media), F.col("payload")
+    tail = F.crc32(F.substring(payload, -32, 32))
+    return back.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_decontamination, op6_simhash_dedup, op7_language_id, op9_secret_scan, op10_media_columns)}
 ORACLES: dict[str, str] = {}
