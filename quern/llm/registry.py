@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import credentials, flac, langid, positions, sharding, simhash
+from quern.llm import credentials, flac, langid, licenses, mixing, pieces, positions, quality, sharding, simhash
 from quern.llm.common import crc_mod, table
 
 
@@ -38,6 +38,30 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(1).alias("n_assign"), of(2).alias("n_access"), of(3).alias("n_hex"), F.sha2(credentials.listed(F.col("base")), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_units", "n_matches", F.concat_ws(",", "licenses").alias("licenses"), "best_dice")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = pieces.decode(coded, model)
+    return back.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("restored"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), train=fold != 0)
+    found = quality.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     media = flac.encode_column(docs, "body").select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), "media")
@@ -46,5 +70,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_decontamination, op6_simhash_dedup, op7_language_id, op9_secret_scan, op10_media_columns)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_lm_scoring, op3_license_scan, op4_decontamination, op5_sentencepiece,
+        op6_simhash_dedup, op7_language_id, op8_quality, op9_secret_scan, op10_media_columns,
+    )
+}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle()}
