@@ -134,3 +134,31 @@ def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", s
     found = found.withColumn(fixed, F.when(touched, clean).otherwise(body))
     recounted = F.when(touched, F.length(F.col(fixed))).otherwise(F.col(chars)).cast(docs.schema[chars].dataType) if chars else None
     return found.select(*[F.col(fixed).alias(c) if c == text else recounted.alias(c) if c == chars else F.col(c) for c in docs.columns])
+
+
+def oracle(scope: int = SCOPE) -> str:
+    """DuckDB SQL of the query: matches are placed by what lies between them, complements are looked up among all spans."""
+    parts = []
+    for number, kind in enumerate(KINDS, 1):
+        pattern = PATTERNS[kind].replace("'", "''")
+        keep = {"assign": "length(g) >= 6", "key": "length(m) = 40 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')"}.get(kind, "true")
+        group = 1 if kind == "assign" else 0
+        parts.append(f"""
+SELECT rid, {number} AS kind, CAST(spot AS BIGINT) AS a, CAST(spot + length(m) AS BIGINT) AS z FROM (
+  SELECT rid, m, g, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM (
+    SELECT rid, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM (
+      SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs, regexp_split_to_array(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}')))
+  WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE {keep}""")
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM s q WHERE q.rid = s.rid AND q.kind IN ({kinds}) AND q.a - s.z <= {scope} AND s.a - q.z <= {scope})"
+    names = "['" + "','".join(KINDS) + "']"
+    listing = f"string_agg({names}[kind] || ':' || a || ':' || z, ',' ORDER BY a, kind)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT rid, kind, a, z FROM s WHERE kind <= 3 OR (NOT EXISTS (SELECT 1 FROM s q WHERE q.rid = s.rid AND q.kind <= 3 AND q.a < s.z AND s.a < q.z)
+  AND CASE kind WHEN 4 THEN {near("1, 3, 5")} WHEN 5 THEN {near("2, 4")} ELSE {near("1, 3, 5")} AND {near("2, 4")} END)),
+b AS (SELECT rid, count(*) FILTER (kind = 1) AS n_assign, count(*) FILTER (kind = 2) AS n_access, count(*) FILTER (kind = 3) AS n_hex, {listing} AS base FROM s WHERE kind <= 3 GROUP BY rid),
+l AS (SELECT rid, {listing} AS spans FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)
+"""

@@ -216,3 +216,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     (h,) = fresh(docs, "text_hash")
     marked = docs.withColumn(h, F.xxhash64(text))
     return marked.join(bad, marked[h] == bad["bad_hash"], "left_anti").select(*docs.columns)
+
+
+def oracle(window: int = 13, share: int = 20) -> str:
+    """DuckDB SQL of the query: every run of words of a document against every phrase."""
+    words_of = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words_of("text")} AS w FROM documents),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {words_of("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bp AS (SELECT item, w, least(len(w), {window}) AS n, unnest(range(1, len(w) - least(len(w), {window}) + 2)) AS i FROM b WHERE len(w) > 0),
+p AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM bp),
+dp AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n),
+m AS (SELECT rid, item, i, p.n FROM (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM dp) g JOIN p ON g.n = p.n AND g.gram = p.gram),
+h AS (SELECT rid, count(DISTINCT hit) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS hit FROM m) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {share} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""

@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return prints.join(named, "fp").select(key, "fp", "text_hash", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, distance: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest key (null last), then text hash.
 
     Rows that repeat key and text count as copies of one another, so one of them stays.
