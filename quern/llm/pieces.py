@@ -38,7 +38,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a model file that may be sent to the executors.
 MOST_MODEL = 64 << 20
 #: Words whose pieces a worker keeps from batch to batch, and pairs of pieces that it keeps verdicts of.
-CACHE, PAIRS = 1_000_000, 2_000_000
+CACHE, PAIRS = 300_000, 500_000
+#: Bytes of texts that are cut into words at once; words take a multiple of it.
+BATCH = 2 << 20
 
 
 @dataclass
@@ -202,7 +204,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", name: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
-        for batch in slices(batches, body):
+        for batch in slices(batches, body, BATCH):
             found = sent.value.encode(batch.column(body).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], pa.array(found, pa.list_(pa.int32()))], names=schema.names)
 
@@ -218,8 +220,8 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", name: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(width)], pa.array([sent.value.decode(x) for x in part.column(width).to_pylist()], pa.string())], names=schema.names)
 
     return rows.withColumn(given, F.col(ids)).mapInArrow(run, schema)
