@@ -38,7 +38,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a model file that may be sent to the executors.
 MOST_MODEL = 64 << 20
 #: Words whose pieces a worker keeps from batch to batch, and pairs of pieces that it keeps verdicts of.
-CACHE, PAIRS = 300_000, 500_000
+CACHE, PAIRS = 450_000, 500_000
 #: Bytes of texts that are cut into words at once; words take a multiple of it.
 BATCH = 2 << 20
 
@@ -54,22 +54,23 @@ class Pieces:
     unknown: int
     merges: bool
     dummy: bool
-    longest: int = 0
     pairs: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.ids), default=1)
         self.bytes = {i: b for b, i in enumerate(self.byte_ids)}
         self.chars = {c for p in self.ids for c in p if len(p) == 1 or not self.merges}
-        self.ends = {}
-        for p in self.ids:
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(n, reverse=True) for c, n in self.ends.items()}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.chars)
         self.cut = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+") if not crossing else re.compile(r"(?s).+")
         #: Pieces that merges make at all.
         self.whole = {p for p in self.ids if not self.merges or len(p) == 1 or self.merged(p) == [p]}
+        #: The pieces' own trie: a node maps a character to the next node, and "" to the piece that ends there.
+        self.trie: dict = {}
+        for p in self.whole:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         self.least = min(self.scores.values(), default=0.0) - 10
 
     def marked(self, text: str) -> str:
@@ -91,12 +92,9 @@ class Pieces:
 
     def stays(self, left: str, right: str) -> bool:
         """Whether two pieces stay two beside each other."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
 
     def forward(self, words: list[str]) -> dict[str, list[int]]:
@@ -104,43 +102,52 @@ class Pieces:
         out: dict[str, list[int]] = {}
         last: list[str] = [""]  # the last piece of each prefix of the word at hand
         sums: list[float] = [0.0]
-        before = ""
+        open_: list[list[tuple[int, dict]]] = [[]]  # where pieces begin that may go on after each prefix, longest first
+        before, trie, step = "", self.trie, self._merge_state if self.merges else self._best_state
         for word in sorted(words):
             shared = 0
             for a, b in zip(word, before):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], sums[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                if self.merges:
-                    last.append(self._merge_state(word, i, last))
-                else:
-                    self._best_state(word, i, last, sums)
+            del last[shared + 1 :], sums[shared + 1 :], open_[shared + 1 :]
+            for i in range(shared, len(word)):
+                c = word[i]
+                now = [(start, child) for start, node in open_[i] if (child := node.get(c)) is not None]
+                if (child := trie.get(c)) is not None:
+                    now.append((i, child))
+                open_.append(now)
+                last.append(step(c, now, last, sums))
             before, at, ids = word, len(word), []
             while at:
                 piece = last[at]
                 found = self.ids.get(piece)
                 ids += [found] if found is not None else [self.byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))] if self.byte_ids else [self.unknown]
                 at -= len(piece)
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
         return out
 
-    def _merge_state(self, word: str, i: int, last: list[str]) -> str:
-        for n in self.ends.get(word[i - 1], ()):
-            if n <= i:
-                piece = word[i - n : i]
-                if piece in self.whole and (n == i or self.stays(last[i - n], piece)):
+    def _merge_state(self, char: str, now: list[tuple[int, dict]], last: list[str], sums: list[float]) -> str:
+        pairs = self.pairs
+        for start, node in now:
+            piece = node.get("")
+            if piece is not None:
+                if not start:
                     return piece
-        return word[i - 1]
-
-    def _best_state(self, word: str, i: int, last: list[str], sums: list[float]) -> None:
-        best, piece = sums[i - 1] + self.least, word[i - 1]
-        for n in self.ends.get(word[i - 1], ()):
-            if n <= i and (score := self.scores.get(word[i - n : i])) is not None and sums[i - n] + score > best:
-                best, piece = sums[i - n] + score, word[i - n : i]
-        last.append(piece)
+                found = pairs.get((last[start], piece))
+                if found or (found is None and self.stays(last[start], piece)):
+                    return piece
+        return char
+
+    def _best_state(self, char: str, now: list[tuple[int, dict]], last: list[str], sums: list[float]) -> str:
+        best, piece = sums[-1] + self.least, char
+        for start, node in now:
+            one = node.get("")
+            if one is not None and sums[start] + self.scores[one] > best:
+                best, piece = sums[start] + self.scores[one], one
         sums.append(best)
+        return piece
 
     def encode(self, texts: list[str | None], cache: dict[str, list[int]]) -> list[list[int] | None]:
         cut = [None if t is None else self.cut.findall(self.marked(t)) for t in texts]
