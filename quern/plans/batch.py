@@ -12,6 +12,10 @@ from quern.operators.relation import Base, Expr, Filter, Relation, Scalar, Vecto
 from quern.sources.storage import POS
 
 
+#: Conditions up to which their disjunction is worth its planning.
+FEW = 16
+
+
 def _root(rel: Relation) -> tuple[Base, list[Expr]] | None:
     """The base of a chain of filters, and their conditions; None for other relations."""
     makes: list[Expr] = []
@@ -54,11 +58,15 @@ def shared_aggregates(group: Sequence[tuple[Scalar, Base, list[Expr]]]) -> DataF
     """One row: a column for each scalar, in order."""
     first = group[0][1]
     df, col = first.plain, _under(first)
-    guards = [_all(makes, col) for _, _, makes in group]
-    if all(g is not None for g in guards):  # rows that no query wants need not leave the scan
-        wanted = guards[0]
-        for g in guards[1:]:
-            wanted = wanted | g
+    once: dict[tuple, Column | None] = {}
+    for _, _, makes in group:
+        if (key := tuple(map(id, makes))) not in once:
+            once[key] = _all(makes, col)
+    guards = [once[tuple(map(id, makes))] for _, _, makes in group]
+    if len(once) <= FEW and () not in once:  # rows that no query wants need not leave the scan
+        wanted = None
+        for g in once.values():
+            wanted = g if wanted is None else wanted | g
         df = df.where(wanted)
     return df.agg(*[s.aggregate(g, col).alias(f"a{i}") for i, ((s, _, _), g) in enumerate(zip(group, guards))])
 
