@@ -16,11 +16,12 @@ their own, other columns are not looked at, an empty table gives an empty result
 
 from __future__ import annotations
 
+import json
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, IntegralType, StringType
 
 from quern.llm.common import forget, stored
 
@@ -29,10 +30,18 @@ MOST_RANGES, SAMPLES = 16_384, 48
 
 
 def _literal(rows: list, dtype) -> Column:
-    """An array of keys as a constant."""
-    kinds = [f.dataType for f in dtype.fields]
-    keys = [F.struct(*[F.lit(v).cast(k).alias(f.name) for v, k, f in zip(row, kinds, dtype.fields)]) for row in rows]
-    return F.array(*keys).cast(ArrayType(dtype))
+    """An array of keys, or of arrays of keys, as a constant; one JSON text for plain types, which is folded once."""
+    nested = bool(rows) and isinstance(rows[0], list)
+    kind = ArrayType(ArrayType(dtype)) if nested else ArrayType(dtype)
+    if all(isinstance(f.dataType, IntegralType | StringType) for f in dtype.fields):
+        names = dtype.names
+        plain = lambda row: dict(zip(names, row))
+        text = json.dumps([[plain(r) for r in block] for block in rows] if nested else [plain(r) for r in rows])
+        return F.from_json(F.lit(text), kind)
+    if nested:
+        return F.array(*[_literal(block, dtype) for block in rows]).cast(kind)
+    fields = [(f.name, f.dataType) for f in dtype.fields]
+    return F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, (n, k) in zip(row, fields)]) for row in rows]).cast(kind)
 
 
 def _range_of(key: Column, splitters: list, dtype) -> Column:
@@ -41,7 +50,7 @@ def _range_of(key: Column, splitters: list, dtype) -> Column:
         return F.lit(0)
     step = isqrt(len(splitters)) + 1
     coarse = _literal(splitters[::step], dtype)
-    blocks = F.array(*[_literal(b, dtype) for b in (splitters[i + 1 : i + step] for i in range(0, len(splitters), step))])
+    blocks = _literal([splitters[i + 1 : i + step] for i in range(0, len(splitters), step)], dtype)
     above = F.size(F.filter(coarse, lambda s: s <= key))
     within = F.size(F.filter(F.get(blocks, above - 1), lambda s: s <= key))
     return F.when(above == 0, F.lit(0)).otherwise((above - 1) * step + 1 + within)
