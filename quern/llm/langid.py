@@ -34,7 +34,7 @@ LONGEST = 5
 ROWS, WORDS, GRAMS, LANGUAGES = 3000, 30_000, 30_000, 256
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -48,35 +48,55 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """words and grams give rows of the table of scores, a column for each language."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
 
     def __post_init__(self) -> None:
-        self.cache: dict[str, np.ndarray] = {}
-        self.nothing = np.zeros(len(self.langs), np.float32)
+        # scores of unseen words stand below those of the model
+        self.known, self.used, self.cache = len(self.table), 0, {}
+        self.rows = np.zeros((self.known + 1024, len(self.langs)), np.float32)
+        self.rows[: self.known] = self.table
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             found = [v for g in grams(word, n) if (v := self.grams.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return self.nothing
+                return self.table[found].sum(axis=0) / np.float32(len(found))
+        return np.zeros(len(self.langs), np.float32)
+
+    def _added(self, word: str) -> int:
+        """The row of an unseen word, which is kept for the next time."""
+        at = self.known + self.used
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(1024, self.used), len(self.langs)), np.float32)])
+        self.rows[at] = self.unseen(word)
+        self.cache[word] = at
+        self.used += 1
+        return at
 
     def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None and (found := self.cache.get(word)) is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[word] = self.unseen(word)
-        return found
+        at = self.words.get(word)
+        return self.table[at] if at is not None else self.unseen(word)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(tokens(text))
         if not counts or not self.langs:
             return UNDETERMINED, 0.0
+        if self.used + len(counts) > CACHE:
+            self.cache, self.used = {}, 0
+        words, cache = self.words, self.cache
+        at = []
+        for w in counts:
+            i = words.get(w)
+            if i is None and (i := cache.get(w)) is None:
+                i = self._added(w)
+            at.append(i)
         n = np.fromiter(counts.values(), np.float64, len(counts))
-        sums = n @ np.array([self.word(w) for w in counts])
+        sums = n @ self.rows[at]
         sums = sums * min(1.0, 12 / n.sum())
         shares = np.exp(sums - sums.max())
         best = int(np.argmax(sums))
@@ -89,26 +109,28 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counts = {r.lang: r.n for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).sort(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
-        return Model([], {}, {})
+        return Model([], {}, {}, np.zeros((0, 0), np.float32))
     rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows / counts[k])))])
     unit = F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(F.col(lang).isin(langs)).where(unit < rate[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: defaultdict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 20):  # counts of a slice at a time; Spark sums them
+            seen: defaultdict[str, Counter] = defaultdict(Counter)
             for language, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 seen[language].update(tokens(body))
-        for language, counter in seen.items():
-            of_n: Counter = Counter()
-            for word, n in counter.items():
+            for language, counter in seen.items():
+                yield part(language, 0, counter)
                 for size in range(1, LONGEST + 1):
-                    for g in grams(word, size):
-                        of_n[size, g] += n
-            kinds = [0] * len(counter) + [n for n, _ in of_n]
-            names = [*counter, *(g for _, g in of_n)]
-            values = [*counter.values(), *of_n.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(names)), pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.int64())], names=["lang", "kind", "gram", "n"])
+                    found: Counter = Counter()
+                    for word, n in counter.items():
+                        for g in grams(word, size):
+                            found[g] += n
+                    yield part(language, size, found)
+
+    def part(language: str, kind: int, counts: Counter) -> pa.RecordBatch:
+        n = len(counts)
+        return pa.RecordBatch.from_arrays([pa.array([language] * n, pa.string()), pa.array([kind] * n, pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
     summed = sample.mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", (F.col("kind") == 0)).orderBy(F.desc("n"), "kind", "gram")
@@ -125,14 +147,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         if r.kind:
             kinds[r.gram] = r.kind
     smooth = 0.5
-    known = {w: np.log((c + smooth) / (totals[0] + smooth * len(tables[0]))).astype(np.float32) for w, c in tables[0].items()}
-    parts = {g: np.log((c + smooth) / (totals[kinds[g]] + smooth * len(tables[1]))).astype(np.float32) for g, c in tables[1].items()}
-    return Model(langs, known, parts)
+    known = [np.log((c + smooth) / (totals[0] + smooth * len(tables[0]))) for c in tables[0].values()]
+    parts = [np.log((c + smooth) / (totals[kinds[g]] + smooth * len(tables[1]))) for g, c in tables[1].items()]
+    rows = np.array([*known, *parts], np.float32).reshape(-1, len(langs))
+    return Model(langs, {w: i for i, w in enumerate(tables[0])}, {g: len(known) + i for i, g in enumerate(tables[1])}, rows)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score; no column but the text is looked at."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.table))
     (body,) = fresh(docs, "body")
     source = docs.withColumn(body, F.col(text))
     schema = docs.withColumn(prediction, F.lit("")).withColumn(score, F.lit(0.0)).schema
@@ -140,7 +163,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
-        for batch in slices(batches, body):
+        for batch in slices(batches, body, 2 << 20):
             found = [model.predict(x) for x in batch.column(body).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(names))], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names

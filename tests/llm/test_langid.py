@@ -18,9 +18,9 @@ def test_backoff_order(spark):
     rows = [(1, "abc abc abd", "x"), (2, "zzz abq", "y"), (3, None, "x"), (4, "abc", None)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["x", "y"] and set(model.words) == {"abc", "abd", "zzz", "abq"}
-    assert (model.word("abc") == model.words["abc"]).all()
+    assert (model.word("abc") == model.table[model.words["abc"]]).all()
     longest = [g for g in langid.grams("abcd", 4) if g in model.grams]
-    assert longest == ["^abc"] and (model.word("abcd") == model.grams["^abc"]).all()
+    assert longest == ["^abc"] and (model.word("abcd") == model.table[model.grams["^abc"]]).all()
     assert (model.word("öö") == 0).all()
     assert model.predict("ABC abd")[0] == "x" and model.predict("zzz")[0] == "y"
 
