@@ -1,0 +1,217 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, exact: whatever reaches the threshold is linked.
+
+A text's set is the hashes of its distinct shingles of `width` words (fewer words are one shingle).  In any one order
+of all shingles, two sets of similarity 4/5 or more share at least MEET of the first n // 5 + MEET shingles of each (or
+all that they share, in sets too small for MEET), so they meet that often where sets are dealt by these prefixes.  The order puts shingles that are common in a sample last and goes by hash
+otherwise; it decides how many meet by chance, not what is found.  Nor can sets link whose sizes differ by more than
+4/5, or that have too little left behind the shingle where they meet.
+
+First only neighbours by size in each bucket are compared, so a large group of near copies is linked without all of
+its pairs; then every pair of a bucket that is still in different components.  Each pair is verified on its whole sets
+before it is linked.  Components are those of simhash.components.
+
+Defined cases: texts without words have one empty set and are copies of each other; texts with equal sets (hashes of
+64 bits) are copies; repeated rows count as copies; null keys come last; columns beyond the key and the text are not
+looked at; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import forget, fresh, slices, stored
+from quern.llm.simhash import components
+
+WIDTH = 5
+#: Bytes of text in the sample that gives the order, how often a shingle is common there, and how many are sent.
+SAMPLE_BYTES, COMMON, MOST = 32 << 20, 8, 1 << 15
+#: Shingles that two prefixes have to share before whole sets are compared.
+MEET = 4
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted XXH64 values (seed 42) of a text's distinct shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-width].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64))
+
+
+def set_id(values: np.ndarray) -> int:
+    """A signed 64-bit hash of a set; 0 for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), 42)).view(np.int64)) if len(values) else 0
+
+
+def common(docs: DataFrame, text: str, width: int, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Shingles that several texts of a bounded sample hold, the rarest first."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    unit = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
+    chosen = docs.select(F.col(text).alias("text")).where(unit < min(1.0, sample_bytes / max(size, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for x in batch.column("text").to_pylist():
+                found = shingles(x, width)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), set_id(found)))], names=["sh", "sid"])
+
+    counted = chosen.mapInArrow(run, "sh long, sid long").distinct().groupBy("sh").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = counted.orderBy(F.desc("n"), "sh").limit(MOST).collect()
+    return np.array([r.sh for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefix(values: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set: by rank (`known` sorted, with the rank of each; others 0), then hash."""
+    most = len(values) // 5 + MEET
+    if not len(known) or not len(values):
+        return values[:most]
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return values[np.argsort(np.where(known[at] == values, rank[at], 0), kind="stable")[:most]]
+
+
+def named_sets(docs: DataFrame, key: str, text: str, width: int, order: np.ndarray) -> DataFrame:
+    """(key, text_hash, sid, n, first) of every row: its text's set, the size of the set and its prefix in order."""
+    source = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    schema = source.select(key, "text_hash", F.lit(0).cast("long").alias("sid"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("first")).schema
+    sort = np.argsort(order)
+    sent = docs.sparkSession.sparkContext.broadcast((order[sort], sort + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = sent.value
+        for batch in slices(batches, "text", 2 << 20):
+            ids, sizes, firsts = [], [], []
+            for x in batch.column("text").to_pylist():
+                found = shingles(x, width)
+                ids.append(set_id(found))
+                sizes.append(len(found))
+                firsts.append(prefix(found, known, rank)[: len(found)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("text_hash"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
+
+
+def buckets(named: DataFrame) -> DataFrame:
+    """(sh, sid, n, p): the shingles that prefixes of two sets or more hold, each set once; p is the place in the prefix."""
+    rows = named.select("sid", "n", F.posexplode("first").alias("p", "sh")).select("sh", "sid", "n", "p")
+    dealt = rows.repartition("sh").sortWithinPartitions("sh", "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = np.empty((4, 0), np.int64), None  # the last set so far, and the shingle of the one before it
+        for batch in batches:
+            new = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])], axis=1)
+            if new.shape[1]:
+                new = new[:, np.r_[True, (new[:2, 1:] != new[:2, :-1]).any(axis=0)]]
+                with_next = new[0, 1:] == new[0, :-1]
+                with_last = np.r_[before is not None and new[0, 0] == before, with_next]
+                yield from out(new[:, :-1], with_last[:-1] | with_next)
+                held, before = new[:, -1:], new[0, -2] if new.shape[1] > 1 else before
+        if held.shape[1]:
+            yield from out(held, np.array([before is not None and held[0, 0] == before]))
+
+    def out(rows: np.ndarray, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if keep.any():
+            sh, sid, n, p = rows[:, keep]
+            yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32))], names=["sh", "sid", "n", "p"])
+
+    return dealt.mapInArrow(run, "sh long, sid long, n int, p int")
+
+
+def _need(n, m):
+    """How many shingles the prefixes of two similar sets of these sizes share at least."""
+    return F.least(F.lit(MEET), F.ceil(4 * F.greatest(n, m) / 5))
+
+
+def neighbours(met: DataFrame) -> DataFrame:
+    """(a, b): sets that are next to each other, by size, in enough buckets; all others are left to the second round."""
+    dealt = met.repartitionByRange("sh", "n", "sid").sortWithinPartitions("sh", "n", "sid").select("sh", "sid", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            rows = rows if last is None else np.concatenate([last, rows], axis=1)
+            if not rows.shape[1]:
+                continue
+            last = rows[:, -1:]
+            (sh, a, n), (sh2, b, m) = rows[:, :-1], rows[:, 1:]
+            ok = (sh == sh2) & (a != b) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(n[ok]), pa.array(m[ok])], names=["a", "b", "n", "m"])
+
+    found = dealt.mapInArrow(run, "a long, b long, n long, m long").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n"), F.max("m").alias("m"))
+    return found.where(F.col("met") >= _need(F.col("n"), F.col("m"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets have a Jaccard similarity of 4/5 or more."""
+    left = sets.select(F.col("sid").alias("a"), F.col("items").alias("left"))
+    right = sets.select(F.col("sid").alias("b"), F.col("items").alias("right"))
+    shared = F.size(F.array_intersect("left", "right"))
+    return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("left") + F.size("right"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(key, text_hash, root) of every row: rows with equal roots are near-duplicates, directly or by others."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            found = [shingles(x, width).view(np.int64) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), _lists(found)], names=["sid", "items"])
+
+    named = stored(named_sets(docs, key, text, width, common(docs, text, width)), "sets")
+    met = stored(buckets(named), "met")
+    pairs = stored(neighbours(met), "pairs")
+
+    def of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+        one = named.join(wanted, "sid").groupBy("sid").agg(F.min("text_hash").alias("text_hash"))
+        texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).join(one, "text_hash").dropDuplicates(["sid"])
+        return stored(texts.select("sid", "text").mapInArrow(listed, "sid long, items array<long>"), "items")
+
+    items = of(pairs)
+    linked = stored(verified(pairs, items), "linked")
+    forget(items)
+    docs.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle files of the first round
+    roots = components(linked)
+    rooted = stored(met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
+    forget(met)
+    mixed = rooted.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
+    open_ = stored(rooted.join(mixed, "sh"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    crossed = x.join(y, (F.col("x.sh") == F.col("y.sh")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)))
+    left = F.least(n - F.col("x.p"), m - F.col("y.p"))  # at the first shingle that both have, enough is left
+    met_often = crossed.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("met"), F.first(_need(n, m)).alias("need"), F.max(9 * left - 4 * (n + m)).alias("left"))
+    again = met_often.where("met >= need and left >= 0").select("a", "b")
+    again = stored(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    items = of(again)
+    more = stored(verified(again, items), "linked")
+    forget(items)
+    if more.limit(1).count():
+        roots = components(linked.union(more))
+    return named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(key, "text_hash", F.coalesce("root", "sid").alias("root"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest key (null last), then text hash."""
+    order = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("id"), F.col("text_hash").alias("h"))
+    first = near_duplicates(docs, key, text, width).groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h")).distinct()
+    (h,) = fresh(docs, "text_hash")
+    marked = docs.withColumn(h, F.xxhash64(text))
+    kept = marked.join(first, marked[key].eqNullSafe(first["w_id"]) & (marked[h] == first["w_h"]), "left_semi")
+    return kept.dropDuplicates([key, h]).select(*docs.columns)
