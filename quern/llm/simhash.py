@@ -220,14 +220,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """(key, fp, text_hash, component_id) of every row; component_id is the smallest key that its fingerprint reaches."""
+    """(key, fp, text_hash, component_id, root) of every row; component_id is the smallest key that its fingerprint reaches.
+
+    root is the component's smallest fingerprint, which tells components apart where a key repeats.
+    """
     prints = stored(fingerprints(docs, key, text, width), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min(key).alias("rep")), "distinct")
     roots = components(links(distinct, distance))
     owned = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = owned.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, "fp", "text_hash", "component_id")
+    named = owned.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select(key, "fp", "text_hash", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -237,10 +240,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """
     found = near_duplicates(docs, key, text, width, distance)
     order = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("id"), F.col("text_hash").alias("h"), "fp")
-    component = F.when(F.col("component_id").isNull(), F.struct(F.lit(1).alias("k"), F.lit(None).cast(docs.schema[key].dataType).alias("c"), F.col("fp").alias("f"))).otherwise(
-        F.struct(F.lit(0).alias("k"), F.col("component_id").alias("c"), F.lit(0).cast("long").alias("f"))
-    )
-    first = found.groupBy(component.alias("component")).agg(F.min(order).alias("w")).select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h")).distinct()
+    first = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h")).distinct()
     (h,) = fresh(docs, "text_hash")
     marked = docs.withColumn(h, F.xxhash64(text))
     kept = marked.join(first, marked[key].eqNullSafe(first["w_id"]) & (marked[h] == first["w_h"]), "left_semi")
