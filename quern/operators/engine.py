@@ -99,18 +99,17 @@ class Engine:
         """The current rows of a table, which of them are selected, and the table's columns."""
         if selection.table is not table:
             raise TypeMismatch("the positions are another table's")
-        pure = selection.pure()
+        pure = selection.pure()  # rows that were inserted since are in no older selection, whatever their values
         table.current()
-        if pure is not None and not table.pending:
-            return table.with_positions(), F.coalesce(pure(F.col), F.lit(False)), table.columns
         df = table.with_positions()
+        if pure is not None:
+            return df, F.coalesce(pure(F.col), F.lit(False)), table.columns
         chosen = stored(selection.rel.placed.select(F.col(f"b{selection.side}_{POS}").alias("__hit")).distinct(), "positions")
         return df.join(chosen, F.col(POS) == F.col("__hit"), "left"), F.col("__hit").isNotNull(), table.columns
 
     def update(self, qualified: str, selection: Selection, value) -> None:
         """Set a column at the selected positions; others keep their values and all their positions."""
         table, name = self.resolve(qualified)
-        self._settle(table)
         df, hit, columns = self._marked(selection, table)
         kind = table.schema[name].dataType
         table.replace(df.select(*[F.when(hit, F.lit(value).cast(kind)).otherwise(F.col(c)).alias(c) if c == name else F.col(c) for c in columns], POS))
@@ -118,19 +117,9 @@ class Engine:
     def delete(self, qualified: str, selection: Selection) -> None:
         """Drop the selected rows; the others keep their positions."""
         table, _ = self.resolve(qualified)
-        self._settle(table)
         df, hit, columns = self._marked(selection, table)
         table.replace(df.where(~hit).select(*columns, POS))
 
-    @staticmethod
-    def _settle(table: Table) -> None:
-        """Give a table without dense positions its own; those of its scan are what earlier selections hold."""
-        source = table.current()
-        if POS not in source.df.columns:
-            placed = stored(source.frame(True), table.name)
-            table.source = type(source)(placed)
-            table.next_pos = (placed.agg(F.max(POS)).first()[0] or -1) + 1
-
     # ---- queries
 
     def whole(self, qualified: str) -> Vector:
@@ -153,7 +142,7 @@ class Engine:
             raise UnknownName(f"{qualified} names no column")
         base = Base(table)
         made = lambda col: in_range(col(f"b{base.id}_{name}"), low, high)
-        return Selection(Filter(base, made, lambda col: in_range(col(name), low, high)), base.id)
+        return Selection(Filter(base, made, lambda col: in_range(col(name), low, high), (name, low, high)), base.id)
 
     def reselect(self, selection: Selection, vector: Vector, low=None, high=None) -> Selection:
         """Of the selected positions those whose value in the vector is in [low, high)."""
@@ -184,7 +173,8 @@ class Engine:
         if name is None:
             raise UnknownName(f"{qualified} names no column")
         rel, side = selection.rel, selection.side
-        if rel.bases[side] == (table, table.version) and not table.pending:
+        of, (version, *_) = rel.bases[side]
+        if of is table and version == table.version:  # rows that came since change no others
             return self._column(rel, side, table, name)
         near = Gathered(rel, side, table)
         return Vector(near, side, None, lambda col: col(f"b{near.base.id}_{name}"), self._column(rel, side, table, name).kind)

@@ -30,7 +30,7 @@ JOIN_HINTS = {"hash": "shuffle_hash", "grace-hash": "merge", "nested-loop": None
 class Relation:
     """Rows of one or more table versions side by side."""
 
-    bases: dict[int, tuple[Table, int]]
+    bases: dict[int, tuple[Table, tuple[int, int, int]]]
 
     def frame(self, positions: bool = False) -> DataFrame:
         raise NotImplementedError
@@ -46,9 +46,10 @@ class Relation:
 
 class Base(Relation):
     def __init__(self, table: Table):
-        self.table, self.version, self.id = table, table.version, next(_ids)
-        self.bases = {self.id: (table, self.version)}
+        self.table, self.id = table, next(_ids)
         self.source = table.current()
+        self.version = table.version
+        self.bases = {self.id: (table, table.state)}
 
     def frame(self, positions: bool = False) -> DataFrame:
         df = self.source.frame(positions)
@@ -56,10 +57,10 @@ class Base(Relation):
 
 
 class Filter(Relation):
-    """Rows of a relation that a condition on it keeps."""
+    """Rows of a relation that a condition on it keeps; span is (column, low, high) where it is a range of a base's column."""
 
-    def __init__(self, below: Relation, make: Expr, pure: Expr | None):
-        self.below, self.make, self.pure, self.bases = below, make, pure, below.bases
+    def __init__(self, below: Relation, make: Expr, pure: Expr | None, span: tuple | None = None):
+        self.below, self.make, self.pure, self.span, self.bases = below, make, pure, span, below.bases
 
     def frame(self, positions: bool = False) -> DataFrame:
         return (self.below.placed if positions else self.below.plain).where(self.make(F.col))
@@ -127,8 +128,8 @@ class Selection:
         return self.rel.bases[self.side][0]
 
     def pure(self) -> Expr | None:
-        """The condition on the table's columns alone, if that is all there is to it and the version is current."""
-        if self.rel.bases[self.side][1] != self.table.version:
+        """The condition on the table's columns alone, if that is all there is to it and no row has come or changed since."""
+        if self.rel.bases[self.side][1] != self.table.state:
             return None
         if isinstance(self.rel, Base):
             return lambda col: F.lit(True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from quern.operators.relation import Base, Expr, Filter, Relation, Scalar, Vector
 from quern.sources.storage import POS
 
-
-#: Conditions up to which their disjunction is worth its planning.
+#: Conditions up to which each is worth an aggregate of its own and their disjunction its planning; more ranges are looked up.
 FEW = 16
+Member = tuple[Scalar, Base, list[Expr]]
 
 
 def _root(rel: Relation) -> tuple[Base, list[Expr]] | None:
@@ -39,7 +40,7 @@ def _all(makes: list[Expr], col) -> Column | None:
 
 def evaluate(scalars: Sequence[Scalar]) -> None:
     """Find the values of scalars: those over filters of one table version in one scan, by conditional aggregation."""
-    groups: dict[tuple, list[tuple[Scalar, Base, list[Expr]]]] = defaultdict(list)
+    groups: dict[tuple, list[Member]] = defaultdict(list)
     for scalar in scalars:
         if scalar.known:
             continue
@@ -54,8 +55,73 @@ def evaluate(scalars: Sequence[Scalar]) -> None:
             scalar.known.append(value)
 
 
-def shared_aggregates(group: Sequence[tuple[Scalar, Base, list[Expr]]]) -> DataFrame:
+def _spans(group: Sequence[Member]) -> list[tuple] | None:
+    """(column, low, high) of every scalar, if all are ranges of one column with bounds of one type."""
+    spans = [s.rel.span if isinstance(s.rel, Filter) and len(makes) == 1 else None for s, _, makes in group]
+    if any(s is None for s in spans) or len({s[0] for s in spans}) != 1:
+        return None
+    return spans if len({type(b) for _, *bounds in spans for b in bounds if b is not None}) == 1 else None
+
+
+def _interval(value: Column, bounds: list) -> Column:
+    """How many bounds are not above the value, by binary search: a fold over the halving steps."""
+    table, steps = F.array(*[F.lit(b) for b in bounds]), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        return at + F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= value), step).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
+def interval_aggregates(group: Sequence[Member], spans: Sequence[tuple]) -> DataFrame:
+    """shared_aggregates for any number of ranges of one column, by the intervals between all their bounds.
+
+    A row is looked up once and counts for its interval; there are at most one more of these than bounds.  The ranges
+    are unions of intervals, so what they want is put together from the intervals' counts, sums, least and greatest.
+    """
+    first = group[0][1]
+    df, col, column = first.plain, _under(first), spans[0][0]
+    bounds = sorted({b for _, *own in spans for b in own if b is not None})
+    value = col(f"b_{column}")
+    if all(low is not None for _, low, _ in spans):
+        df = df.where(value >= F.lit(bounds[0]))
+    if all(high is not None for _, _, high in spans):
+        df = df.where(value < F.lit(bounds[-1]))
+    values = {str(s.make(col)): s for s, _, _ in group}
+    numbers = {text: i for i, text in enumerate(values)}
+    parts = []
+    for text, s in values.items():
+        x, i = s.make(col), numbers[text]
+        parts += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"g{i}")]
+        if any(o.how in ("sum", "avg") and str(o.make(col)) == text for o, _, _ in group):
+            parts.append(F.sum(x).alias(f"s{i}"))
+    per = df.where(value.isNotNull()).groupBy(_interval(value, bounds).alias("__at")).agg(*parts)
+    out = []
+    for j, ((s, _, _), (_, low, high)) in enumerate(zip(group, spans)):
+        i = numbers[str(s.make(col))]
+        inside = F.lit(True)  # interval k holds what is at or above bound k - 1 and below bound k
+        if low is not None:
+            inside = inside & (F.col("__at") > bisect_left(bounds, low))
+        if high is not None:
+            inside = inside & (F.col("__at") <= bisect_left(bounds, high))
+        of = lambda f, x: f(F.when(inside, F.col(x)))  # noqa: B023, E731
+        count = F.coalesce(of(F.sum, f"n{i}"), F.lit(0))
+        if s.how == "count":
+            found = count
+        elif s.how == "sum":
+            found = F.coalesce(of(F.sum, f"s{i}"), F.lit(0 if s.integral else 0.0))
+        elif s.how == "avg":
+            found = F.coalesce(of(F.sum, f"s{i}").cast("double") / count, F.lit(0.0))
+        else:
+            found = of(F.min, f"l{i}") if s.how == "min" else of(F.max, f"g{i}")
+        out.append(found.alias(f"a{j}"))
+    return per.agg(*out)
+
+
+def shared_aggregates(group: Sequence[Member]) -> DataFrame:
     """One row: a column for each scalar, in order."""
+    if len({id(s.rel) for s, _, _ in group}) > FEW and (spans := _spans(group)) is not None:
+        return interval_aggregates(group, spans)
     first = group[0][1]
     df, col = first.plain, _under(first)
     once: dict[tuple, Column | None] = {}

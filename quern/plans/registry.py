@@ -298,6 +298,33 @@ def insert_then_select(spark, sf_dir):
     return e.frame(p_partkey=e.fetch("db.part.p_partkey", s), p_size=e.fetch("db.part.p_size", s))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem WHERE l_partkey<300")
+def fetch_after_insert(spark, sf_dir):
+    """A selection keeps its rows, in tables of several files too, when rows are inserted after it, and takes in no new ones."""
+    path = f"{shared_dir(spark)}/quern-parts-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber").repartition(5).write.parquet(path)
+    e = engine(spark, sf_dir)
+    e.register("lineitem", spark.read.parquet(path))
+    s = e.select("db.lineitem.l_partkey", None, 300)
+    e.insert("db.lineitem", (5, 1_000_000))
+    v = e.fetch("db.lineitem.l_linenumber", s)
+    assert e.count(e.select("db.lineitem.l_partkey", 5, 6)).value  # written by now
+    return v.rel.plain.agg(F.count(v.expr).alias("n"), F.sum(e.fetch("db.lineitem.l_linenumber", s).expr).alias("s"))
+
+
+@query("SELECT r_regionkey AS k, 70 AS v FROM region WHERE r_regionkey = 0 UNION ALL SELECT 100, 8")
+def update_one_row_then_insert(spark, sf_dir):
+    """A table of one row: the inserted row gets a position of its own, and the update reaches only what was selected."""
+    e = engine(spark, sf_dir)
+    e.register("region", table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.col("r_regionkey").alias("k"), F.lit(7).alias("v")))
+    s = e.select("db.region.v", 0, 10)
+    e.insert("db.region", (100, 8))
+    e.update("db.region.v", s, 70)
+    t = e.select("db.region.k")
+    assert t.rel.placed.select(f"b{t.side}___pos").distinct().count() == 2
+    return e.frame(k=e.fetch("db.region.k", t), v=e.fetch("db.region.v", t))
+
+
 @query("SELECT p_partkey, v AS p_size FROM (SELECT p_partkey, CASE WHEN p_size>=10 AND p_size<20 AND p_partkey<500 THEN 77 ELSE p_size END AS v FROM part) WHERE v>=15")
 def update_then_select(spark, sf_dir):
     e = engine(spark, sf_dir, "part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quern.errors import DuplicateName, QuernError, UnknownName
-from quern.sources.storage import POS, numbered, read_text, stored, write_atomic, write_text
+from quern.sources.storage import POS, is_scan, listing, read_text, remove, scan_positions, stored, write_text
 
 #: Versions after which a table's lineage is cut.
 CUT_EVERY = 20
@@ -25,7 +26,7 @@ class Source:
     def frame(self, positions: bool = False) -> DataFrame:
         if POS in self.df.columns or not positions:
             return self.df
-        return self.df.withColumn(POS, F.monotonically_increasing_id())  # unique and in row order, with gaps
+        return scan_positions(self.df)  # unique and in row order, with gaps
 
 
 @dataclass
@@ -33,7 +34,8 @@ class Table:
     name: str
     width: int
     schema: StructType = field(default_factory=StructType)
-    version: int = 0
+    version: int = 0  # counts what changes rows
+    appended: int = 0  # counts what only adds rows
     source: Source | None = None
     next_pos: int = 0
     pending: list[tuple] = field(default_factory=list)
@@ -54,27 +56,31 @@ class Table:
     def _stored_schema(self) -> StructType:
         return StructType([*self.schema.fields, StructField(POS, LongType(), False)])
 
-    def current(self) -> Source:
-        """The rows as they are now; buffered inserts are written first, all at once."""
-        from pyspark.sql import SparkSession as Session
+    @property
+    def state(self) -> tuple[int, int, int]:
+        """Equal states have the same rows."""
+        return self.version, self.appended, len(self.pending)
 
-        spark = Session.active()
+    def current(self) -> Source:
+        """The rows as they are now; buffered inserts are written first, all at once, behind all others."""
+        spark = SparkSession.active()
         if self.source is None:
             self.source = Source(spark.createDataFrame([], self._stored_schema()))
         if self.pending:
+            old = self.with_positions()
             rows = [(*values, self.next_pos + i) for i, values in enumerate(self.pending)]
             self.next_pos += len(rows)
-            self.pending = []
-            old = self.with_positions().select(*self.columns, POS)
+            self.pending, self.appended = [], self.appended + 1
             self.source = Source(old.unionByName(spark.createDataFrame(rows, self._stored_schema())))
             self._grown()
         return self.source
 
     def with_positions(self) -> DataFrame:
-        """The stored version with dense positions, numbered once if it has none."""
+        """The stored version with its positions; those of a scan are what earlier selections hold, so they stay."""
         if POS not in self.source.df.columns:
-            self.source = Source(numbered(self.source.df))
-            self.next_pos = self.source.df.count()
+            placed = self.source.frame(True).select(*self.columns, POS)
+            last = placed.agg(F.max(POS)).first()[0]
+            self.source, self.next_pos = Source(placed), 0 if last is None else last + 1
         return self.source.df
 
     def replace(self, df: DataFrame, next_pos: int | None = None) -> None:
@@ -116,8 +122,8 @@ class Database:
         return found
 
     def register(self, name: str, df: DataFrame) -> Table:
-        """A table over a DataFrame of fixed files, as it is."""
-        found = self.tables[name] = Table(name, len(df.columns), df.schema, source=Source(df))
+        """A table over a DataFrame: Parquet files as they are; anything else, whose rows have no lasting order, is stored first."""
+        found = self.tables[name] = Table(name, len(df.columns), df.schema, source=Source(df if is_scan(df) else stored(df, name)))
         return found
 
     def table(self, name: str) -> Table:
@@ -142,29 +148,44 @@ class Database:
         return self.spark.createDataFrame(rows, "table_name string, column_name string, type string, rows long, index string")
 
     def save(self) -> None:
-        """Write every table and then the catalogue; each replaces its old form when it is whole."""
+        """Write every table to a folder of its own, then a catalogue that names the folders.
+
+        Whoever opens the database takes the last catalogue, so a crash at any time leaves the one before whole.
+        """
         if self.path is None:
             raise QuernError("the database has no path")
         tables = []
         for t in self.tables.values():
             t.current()
-            write_atomic(t.indexed(t.with_positions().select(*t.columns, POS)), f"{self.path}/{self.name}/{t.name}")
-            tables.append({"name": t.name, "width": t.width, "schema": json.loads(t.schema.json()), "next_pos": t.next_pos, "indexes": t.indexes})
-            self._attach(t)
-        write_text(self.spark, json.dumps({"database": self.name, "tables": tables}), f"{self.path}/catalog.json")
-
-    def _attach(self, table: Table) -> None:
-        table.source = Source(self.spark.read.schema(table._stored_schema()).parquet(f"{self.path}/{self.name}/{table.name}"))
+            folder = f"{t.name}-{uuid.uuid4().hex}"
+            t.indexed(t.with_positions().select(*t.columns, POS)).write.parquet(f"{self.path}/{self.name}/{folder}")
+            tables.append({"name": t.name, "folder": folder, "width": t.width, "schema": json.loads(t.schema.json()), "next_pos": t.next_pos, "indexes": t.indexes})
+            self._attach(t, folder)
+        before = _catalogues(self.spark, self.path)
+        number = 1 + int(before[-1][8:-5]) if before else 1
+        write_text(self.spark, json.dumps({"database": self.name, "tables": tables}), f"{self.path}/catalog-{number:012d}.json")
+
+    def _attach(self, table: Table, folder: str) -> None:
+        table.source = Source(self.spark.read.schema(table._stored_schema()).parquet(f"{self.path}/{self.name}/{folder}"))
         table.since_cut = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Database | None:
-        text = read_text(spark, f"{path}/catalog.json")
-        if text is None:
+        """The database of the last catalogue; what no longer belongs to it is removed."""
+        there = _catalogues(spark, path)
+        if not there:
             return None
-        found = json.loads(text)
+        found = json.loads(read_text(spark, f"{path}/{there[-1]}"))
         db = cls(spark, found["database"], path)
         for t in found["tables"]:
             table = db.tables[t["name"]] = Table(t["name"], t["width"], StructType.fromJson(t["schema"]), next_pos=t["next_pos"], indexes={k: tuple(v) for k, v in t["indexes"].items()})
-            db._attach(table)
+            db._attach(table, t["folder"])
+        for name in there[:-1]:
+            remove(spark, f"{path}/{name}")
+        for folder in set(listing(spark, f"{path}/{db.name}")) - {t["folder"] for t in found["tables"]}:
+            remove(spark, f"{path}/{db.name}/{folder}")
         return db
+
+
+def _catalogues(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in listing(spark, path) if n.startswith("catalog-") and n.endswith(".json")]

@@ -1,13 +1,20 @@
-"""Stored tables: cut lineage in the shared folder, dense positions, atomic replacement."""
+"""Stored tables: cut lineage in the shared folder, positions of rows, files that are written whole."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POS = "__pos"
+#: Bits of a scan position that number the rows of a file; the bits above number the files.
+ROW_BITS = 40
+#: Files up to which a scan's file numbers are a literal map; more are joined.
+FEW_FILES = 32
 
 
 def _fs(spark: SparkSession, path: str):
@@ -48,29 +55,58 @@ def numbered(df: DataFrame, order: str | None = None, start: int = 0, name: str
     return joined.withColumn(name, place.cast("long")).select(*df.columns, name)
 
 
-def write_atomic(df: DataFrame, path: str) -> None:
-    """Write Parquet beside the path, then put it in its place."""
-    spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
-    df.write.parquet(fresh)
-    where, fs = _fs(spark, path)
-    new, _ = _fs(spark, fresh)
-    fs.delete(where, True)
-    if not fs.rename(new, where):
-        raise OSError(f"cannot rename {fresh}")
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is columns and rows of Parquet files as they stand, so that a row is known by its file and number."""
+
+    def plain(plan) -> bool:
+        name, children = plan.nodeName(), plan.children()
+        if name == "LogicalRelation":
+            return plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "parquet" in plan.relation().fileFormat().toString().lower()
+        return name in ("Project", "Filter", "SubqueryAlias") and plan.deterministic() and children.size() == 1 and plain(children.apply(0))
+
+    return plain(df._jdf.queryExecution().analyzed())
+
+
+def scan_positions(df: DataFrame, name: str = POS) -> DataFrame:
+    """A plain scan with a number for each row: that of its file, in the order of paths, and its own in the file.
+
+    It does not depend on how the files are split, and filters still reach the scan below it.
+    """
+    files = sorted(re.sub("^([^:/]+):/+", r"\1:/", unquote(f)) for f in df.inputFiles())
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    row, shown = F.col("_metadata.row_index"), F.regexp_replace(decoded, "^([^:/]+):/+", "$1:/")
+    lost = F.raise_error(F.lit("a file came after the scan was planned")).cast("long")
+    if len(files) <= 1:
+        return df.withColumn(name, row)
+    if len(files) <= FEW_FILES:
+        number = F.element_at(F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))]), shown)
+        return df.withColumn(name, F.shiftleft(F.coalesce(number.cast("long"), lost), ROW_BITS) + row)
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __path string")  # the planner goes by its size
+    joined = df.withColumn("__row", row).withColumn("__shown", shown).join(numbers, F.col("__shown") == F.col("__path"), "left")
+    return joined.withColumn(name, F.shiftleft(F.coalesce("__file", lost), ROW_BITS) + F.col("__row")).select(*df.columns, name)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A new text file: written beside its place and renamed, so it is there whole or not at all."""
     where, fs = _fs(spark, path)
     new, _ = _fs(spark, path + ".tmp")
     stream = fs.create(new, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    fs.delete(where, True)
-    fs.rename(new, where)
+    if not fs.rename(new, where):
+        raise OSError(f"cannot rename {path}.tmp")
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    where, fs = _fs(spark, path)
-    if not fs.exists(where):
-        return None
+def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none where there is no folder."""
+    where, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _fs(spark, path)
+    fs.delete(where, True)
