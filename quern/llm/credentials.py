@@ -7,15 +7,19 @@ parts of a credential: named identifiers, bare strings of the length of a secret
 access identifiers and the strong secrets count as complements.  A weak span that overlaps a strong one is not
 reported again.
 
-The interval join is a sweep in each row: spans are sorted by start, one pass carries the furthest ends seen, a
-pass from the back the nearest starts, so no pairs are made and nothing is shuffled.
+The interval join is a sweep in each row: spans are sorted by start, running maxima carry the furthest ends before
+each, running minima from the back the nearest starts behind it, so no pairs are made and nothing is shuffled.  All
+running results are scans by doubling steps over an array: n spans of a text cost n log n.
 
-Positions count code points, ends are exclusive.  Defined cases: null and empty texts have no spans, repeated rows
-stay repeated, other columns are not looked at, an empty table gives an empty result.
+Positions count code points, ends are exclusive.  Defined cases: null and empty texts have no spans; a very long text
+is one row, whose spans are arrays in it; spans that start together are sorted by kind; repeated rows stay repeated;
+other columns are not looked at and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,77 +36,88 @@ PATTERNS = {
 }
 #: Code points between complementary spans.
 SCOPE = 200
+#: Beyond any place in a text; code points of a piece of a text that is put together anew.
+FAR, PIECE = 1 << 30, 512
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _found(text: Column, kind: str) -> Column:
-    """The spans of a kind: what regexp_extract_all gives, placed by the lengths of what split leaves between."""
+def _power(k: Column) -> Column:
+    return F.pow(F.lit(2.0), k).cast("int")
+
+
+def _scan(values: Column, better: Callable[[Column, Column], Column], back: bool = False) -> Column:
+    """The running result of an array up to each place (back: from each place on), by doubling steps.
+
+    A fold over the steps replaces the whole array each time, so n values cost n log n; a fold that appends to its
+    result would copy it n times.
+    """
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")), _power)
+
+    def double(now: Column, step: Column) -> Column:
+        other = lambda x, i: F.get(now, i + step if back else i - step)
+        return F.transform(now, lambda x, i: F.coalesce(better(x, other(x, i)), x))
+
+    return F.aggregate(steps, values, double)
+
+
+def _found(match: Column, text: Column, kind: str) -> Column:
+    """The spans of a kind: its matches, placed by the lengths of what split leaves between."""
     pattern, number = PATTERNS[kind], KINDS.index(kind) + 1
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.zip_with(match, F.slice(gaps, F.lit(1), F.size(match)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    none = F.array().cast(_SPANS)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        kept = F.array(span)
-        if kind == "assign":  # a match that fails still uses up its text
-            kept = F.when(F.length(F.regexp_extract(x["m"], pattern, 1)) >= 6, kept).otherwise(none)
+    sizes = F.zip_with(match, F.split(text, pattern, -1), lambda m, g: F.coalesce(F.length(m), F.lit(0)) + F.length(g))
+    ends = _scan(F.slice(sizes, F.lit(1), F.size(match)), lambda a, b: a + b)
+
+    def span(m: Column, end: Column) -> Column:
+        kept = F.lit(True)  # a match that fails has used up its text all the same
+        if kind == "assign":
+            kept = F.length(F.regexp_extract(m, pattern, 1)) >= 6
         if kind == "key":
-            kept = F.when((F.length(x["m"]) == 40) & x["m"].rlike("[0-9]") & x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]"), kept).otherwise(none)
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], kept).cast(_SPANS).alias("out"))
-
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
-
-
-def _linked(parts: Column, scope: int) -> Column:
-    """The spans of sorted parts that are strong, or weak with their complements in scope and clear of strong ones."""
-    far = 1 << 30
-    flagged = "array<struct<start:int,kind:int,end:int,id:boolean,secret:boolean,over:boolean>>"
-    names, secrets = [2, 4], [1, 3, 5]
-
-    def ahead(acc: Column, p: Column) -> Column:
-        row = F.struct(
-            p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"),
-            (acc["id"] >= p["start"] - scope).alias("id"), (acc["secret"] >= p["start"] - scope).alias("secret"), (acc["strong"] > p["start"]).alias("over"),
-        )
-        reach = lambda old, kinds: F.when(p["kind"].isin(kinds), F.greatest(old, p["end"])).otherwise(old)
-        return F.struct(
-            reach(acc["id"], names).cast("int").alias("id"), reach(acc["secret"], secrets).cast("int").alias("secret"), reach(acc["strong"], [1, 2, 3]).cast("int").alias("strong"),
-            F.concat(acc["out"], F.array(row)).cast(flagged).alias("out"),
-        )
-
-    def back(acc: Column, p: Column) -> Column:
-        named = p["id"] | (acc["id"] <= p["end"] + scope)
-        secret = p["secret"] | (acc["secret"] <= p["end"] + scope)
-        clear = ~p["over"] & (acc["strong"] >= p["end"])
-        linked = F.when(p["kind"] == 4, secret).when(p["kind"] == 5, named).otherwise(named & secret)
-        span = F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))
-        kept = F.when((p["kind"] <= 3) | (clear & linked), F.array(span)).otherwise(F.array().cast(_SPANS))
-        reach = lambda old, kinds: F.when(p["kind"].isin(kinds), F.least(old, p["start"])).otherwise(old)
-        return F.struct(
-            reach(acc["id"], names).cast("int").alias("id"), reach(acc["secret"], secrets).cast("int").alias("secret"), reach(acc["strong"], [1, 2, 3]).cast("int").alias("strong"),
-            F.concat(acc["out"], kept).cast(_SPANS).alias("out"),
-        )
-
-    start = lambda v, kind: F.struct(F.lit(v).alias("id"), F.lit(v).alias("secret"), F.lit(v).alias("strong"), F.array().cast(kind).alias("out"))
-    seen = F.aggregate(parts, start(-far, flagged), ahead, lambda acc: acc["out"])
-    return F.array_sort(F.aggregate(F.reverse(seen), start(far, _SPANS), back, lambda acc: acc["out"]))
+            kept = (F.length(m) == 40) & m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
+        return F.when(kept, F.struct((end - F.length(m)).alias("start"), F.lit(number).alias("kind"), end.alias("end")))
+
+    spans = F.array_compact(F.zip_with(match, ends, span))
+    return F.when(F.size(match) > 0, spans).otherwise(F.array()).cast(_SPANS)
+
+
+def _reach(parts: Column, kinds: list[int], back: bool) -> Column:
+    """For each part the furthest end of the parts of some kinds before it, or the nearest start of those behind it."""
+    far = F.lit(FAR if back else -FAR)
+    own = F.transform(parts, lambda p: F.when(p["kind"].isin(kinds), p["start"] if back else p["end"]).otherwise(far))
+    run = _scan(own, F.least if back else F.greatest, back)
+    return F.concat(F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0))), F.array(far)) if back else F.concat(F.array(far), F.slice(run, 1, F.greatest(F.size(run) - 1, F.lit(0))))
+
+
+def _linked(seen: Column, scope: int) -> Column:
+    """The spans of seen parts that are strong, or weak with their complements in scope and clear of strong ones."""
+
+    def keep(p: Column) -> Column:
+        named = (p["id"] >= p["start"] - scope) | (p["next_id"] <= p["end"] + scope)
+        secret = (p["secret"] >= p["start"] - scope) | (p["next_secret"] <= p["end"] + scope)
+        clear = (p["strong"] <= p["start"]) & (p["next_strong"] >= p["end"])
+        return (p["kind"] <= 3) | (clear & F.when(p["kind"] == 4, secret).when(p["kind"] == 5, named).otherwise(named & secret))
+
+    return F.transform(F.filter(seen, keep), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE, base: str = "base", spans: str = "spans") -> DataFrame:
     """docs with two columns: `base`, the strong spans, and `spans`, these and the linked weak ones.
 
     Both are arrays of (start, kind, end) sorted by start and kind; kind is 1 for the first of KINDS and so on.
+    Where docs has a column of that name already, underscores are put behind the new one's.
     """
-    strong, weak = fresh(docs, "strong_spans", "weak_spans")
+    base, spans = fresh(docs, base, spans)
+    held = fresh(docs.withColumns({base: F.lit(0), spans: F.lit(0)}), *[f"{k}_matches" for k in KINDS], "strong_spans", "weak_spans", "parts")
+    matches, (strong, weak, parts) = held[:6], held[6:]
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn(strong, F.array_sort(F.concat(*[_found(body, k) for k in KINDS[:3]])))
-    found = found.withColumn(weak, F.concat(*[_found(body, k) for k in KINDS[3:]]))
-    linked = F.when(F.size(F.col(weak)) == 0, F.col(strong)).otherwise(_linked(F.array_sort(F.concat(F.col(strong), F.col(weak))), scope))
+    found = docs.withColumns({m: F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0)) for k, m in zip(KINDS, matches)})
+    of = lambda some: F.concat(*[_found(F.col(matches[i]), body, KINDS[i]) for i in some])
+    found = found.withColumns({strong: F.array_sort(of(range(3))), weak: of(range(3, 6))})
+    found = found.withColumn(parts, F.when(F.size(weak) > 0, F.array_sort(F.concat(strong, weak))))
+    reaches = {"id": [2, 4], "secret": [1, 3, 5], "strong": [1, 2, 3]}
+    names = fresh(found, *[p + k for p in ("", "next_") for k in reaches])
+    found = found.withColumns({n: F.when(F.col(parts).isNotNull(), _reach(F.col(parts), kinds, back)) for n, (back, kinds) in zip(names, [(b, k) for b in (False, True) for k in reaches.values()])})
+    each = ["start", "kind", "end", *[p + k for p in ("", "next_") for k in reaches]]
+    seen = F.transform(F.arrays_zip(parts, *names), lambda z: F.struct(*[z[parts][k].alias(k) for k in each[:3]], *[z[n].alias(k) for n, k in zip(names, each[3:])]))
+    linked = F.when(F.col(parts).isNull(), F.col(strong)).otherwise(_linked(seen, scope))
     return found.select(*[F.col(c) for c in docs.columns], F.col(strong).alias(base), linked.alias(spans))
 
 
@@ -112,26 +127,43 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _pieces(text: Column, size: int = PIECE) -> Column:
+    """The text in pieces of so many code points, the last one shorter: cut in halves again and again, so in n log n."""
+    levels = F.greatest(F.ceil(F.log2(F.greatest(F.length(text), F.lit(1)) / size)), F.lit(0)).cast("int")
+
+    def halve(now: Column, level: Column) -> Column:
+        half = F.lit(size) * _power(level)
+        return F.filter(F.flatten(F.transform(now, lambda s: F.array(F.substring(s, F.lit(1), half), F.substring(s, half + 1, half)))), lambda s: s != "")
+
+    down = F.filter(F.sequence(levels - 1, F.lit(-1), F.lit(-1)), lambda k: k >= 0)
+    return F.aggregate(F.when(levels > 0, down).otherwise(F.array().cast("array<int>")), F.array(text), halve)
+
+
 def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span of scan() replaced by a mark; overlapping spans are replaced as one, chars is counted anew where text changed."""
-    base, spans, hidden, fixed = fresh(docs, "base", "spans", "hidden_ranges", "fixed_text")
-    found = scan(docs, text, scope, base, spans)
-    ranges = "array<struct<start:int,end:int>>"
-
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(one))).cast(ranges)
-
-    merged = F.aggregate(F.col(spans), F.array().cast(ranges), join)
-    body = F.col(text)
-    ends = F.concat(F.array(F.lit(0)), F.transform(F.col(hidden), lambda s: s["end"]))
-    starts = F.concat(F.transform(F.col(hidden), lambda s: s["start"]), F.array(F.length(body)))
-    clean = F.array_join(F.zip_with(ends, starts, lambda e, s: F.substring(body, e + 1, s - e)), mark)
-    touched = F.size(F.col(spans)) > 0
-    found = found.withColumn(hidden, F.when(touched, merged))
-    found = found.withColumn(fixed, F.when(touched, clean).otherwise(body))
+    """docs with every span of scan() replaced by a mark; overlapping spans are replaced as one, chars is counted anew where text changed.
+
+    The text between two marks is taken from its pieces, so no span walks the whole text.  What a lambda looks up is a
+    column that is used outside of it too: the optimiser would put one that is used once into the lambda, to be
+    computed for every element.
+    """
+    base, spans, reach, ends, starts, cut, fixed = fresh(docs, "base", "spans", "reach", "hidden_ends", "hidden_starts", "text_pieces", "fixed_text")
+    found, body, own = scan(docs, text, scope, base, spans), F.col(text), F.col(spans)
+    touched = F.size(own) > 0
+    found = found.withColumn(reach, F.when(touched, _scan(F.transform(own, lambda s: s["end"]), F.greatest)))
+    opens = lambda i: (i == 0) | (F.get(own, i)["start"] >= F.get(F.col(reach), i - 1))
+    places = F.sequence(F.lit(0), F.size(own) - 1)
+    found = found.withColumns({
+        starts: F.when(touched, F.concat(F.transform(F.filter(places, opens), lambda i: F.get(own, i)["start"]), F.array(F.length(body)))),
+        ends: F.when(touched, F.concat(F.array(F.lit(0)), F.transform(F.filter(places, lambda i: (i == F.size(own) - 1) | opens(i + 1)), lambda i: F.get(F.col(reach), i)))),
+        cut: F.when(touched, _pieces(body)),
+    })
+
+    def between(a: Column, z: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        near = F.array_join(F.slice(F.col(cut), first + 1, F.floor(z / PIECE).cast("int") - first + 1), "")
+        return F.substring(near, a - first * PIECE + 1, z - a)
+
+    found = found.withColumn(fixed, F.when(F.size(cut) > 0, F.array_join(F.zip_with(F.col(ends), F.col(starts), between), mark)).otherwise(body))
     recounted = F.when(touched, F.length(F.col(fixed))).otherwise(F.col(chars)).cast(docs.schema[chars].dataType) if chars else None
     return found.select(*[F.col(fixed).alias(c) if c == text else recounted.alias(c) if c == chars else F.col(c) for c in docs.columns])
 

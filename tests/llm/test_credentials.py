@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -69,3 +70,16 @@ def test_redaction_and_defined_cases(spark):
     assert rows[8].text == "access_key_id = [REDACTED]\n[REDACTED]\n[REDACTED]" or "AKIA" not in rows[8].text
     assert credentials.redact(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(credentials.listed(F.array().cast(credentials._SPANS)), 256)).first()[0]
+
+
+def test_many_spans_and_clashing_names(spark):
+    unit = f"token=abcdef1 client_id=web-7 {KEY} "
+    docs = spark.createDataFrame([(1, unit * 40_000)], "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("Spans", F.lit(2))
+    began = time.perf_counter()
+    found = credentials.scan(docs)
+    assert found.columns == [*docs.columns, "base_", "spans_"]
+    row = found.select(F.size("base_").alias("n"), F.size("spans_").alias("m"), F.element_at("spans_", -1).alias("last")).first()
+    assert (row.n, row.m) == (40_000, 120_000) and tuple(row["last"]) == (39_999 * len(unit) + unit.index(KEY), 5, 40_000 * len(unit) - 1)
+    fixed = credentials.redact(docs, chars=None).first()
+    assert fixed.text == "[REDACTED] client_id=[REDACTED] [REDACTED] ".replace("client_id=[REDACTED]", "[REDACTED]") * 40_000
+    assert time.perf_counter() - began < 60
