@@ -23,20 +23,32 @@ def _fs(spark: SparkSession, path: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder below the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one below the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern_checkpoints"
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again; the files go with the session."""
+    """df written to the shared folder and read again: its lineage ends there, so a lost executor costs no recomputation.
+
+    The files go when the session ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/quern-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where, fs = _fs(df.sparkSession, path)
     fs.deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table that stored() gave, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def numbered(df: DataFrame, order: str | None = None, start: int = 0, name: str = POS) -> DataFrame:
     """df with dense numbers from `start`, in the order of a column or else of the rows as they come.
 
