@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import credentials, langid, pieces, positions, similar
+from quern.llm import credentials, langid, pieces, positions, simhash
 from quern.llm.common import stored, table
 
 
@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word Jaccard 0.8 or more), that with the smallest doc_id."""
-    return similar.keep_one(docs)
+    """One document of each group of near-duplicates (five-word Jaccard 0.8 or more, met by fingerprint blocks), that with the smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
