@@ -2,50 +2,55 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.storage import forget, shared_dir, stored  # noqa: F401  (what the operators take from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one below the warehouse."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+def split_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", hot: int = 64) -> DataFrame:
+    """rows joined with a table that has each key once; rows of frequent keys are dealt to several tasks.
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as written to the shared folder and read again: its lineage ends there, so a lost executor costs no recomputation.
-
-    The files go when the session ends.
+    A key is frequent beyond a thousandth of the rows (and `hot`), so there are at most a thousand of them: these, and
+    nothing else, are broadcast.  A frequent key's rows are split by a hash of the whole row, its partner is repeated
+    for each part.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Remove the files of a table that stored() gave, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    total = rows.count()
+    most = max(hot, total // 1000)
+    if total <= most:
+        return rows.join(unique, key, how)
+    part, parts = fresh(rows, "join_part", "join_parts")
+    heavy = F.broadcast(rows.groupBy(key).agg(F.count("*").alias(parts)).where(F.col(parts) > most).select(key, F.ceil(F.col(parts) / most).cast("int").alias(parts)))
+    many = F.coalesce(F.col(parts), F.lit(1))
+    left = rows.join(heavy, key, "left").withColumn(part, F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), many).cast("int")).drop(parts)
+    right = unique.join(heavy, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), many - 1))).drop(parts)
+    return left.join(right, [key, part], how).drop(part)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal keys (whole numbers, not null) of batches sorted by them; only the last run is held."""
+    held: pa.Table | None = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        new = new if held is None else pa.concat_tables([held, new])
+        if not new.num_rows:
+            continue
+        values = np.stack([new.column(k).to_numpy().astype(np.int64) for k in keys])
+        cuts = np.r_[0, np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield new.slice(a, b - a)
+        held = new.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -5,28 +5,40 @@ least b - d whole blocks, so they meet in one of the C(b, d) tables keyed by b -
 where they meet, and each bucket gives a spanning forest of its links, never all pairs.  Results do not depend
 on b, which only follows the number of distinct fingerprints so that chance meetings stay in proportion to it.
 
+keep_one() has a stricter notion of near-duplicates: the Jaccard similarity of five-word shingles is 0.8 or more.
+Few of 64 bits cannot show that, as similarity 0.8 changes ten bits of the shingles' own fingerprint.  A fingerprint of
+the distinct words changes by four such bits where edits are scattered, so candidates meet in blocks of that one, at
+up to WORD_BITS bits; they must also agree in the shingles' fingerprint up to SHINGLE_BITS, and in size.  Candidates
+make families, and in a family every pair that is not linked yet is compared by its whole sets: only that links.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows stay repeated;
-a null doc_id keeps its row and counts for component_id only where a component has no other id.  Columns beyond
-the key and the text are not looked at.  An empty table gives an empty result.
+a null doc_id keeps its row and counts for component_id only where a component has no other id; a very long text is
+one row's work, in memory in proportion to it.  Columns beyond the key and the text are not looked at, and may have any
+name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import forget, fresh, slices, stored
+from quern.llm.common import forget, fresh, groups, slices, split_join, stored
 
 BITS = 64
 #: Fingerprints that one comparison cell takes from one side; larger buckets are dealt to cells of pairs of parts.
 CELL = 2048
+#: keep_one: shingle width, and the bits in which candidates may differ, of the words' and of the shingles' fingerprint.
+WIDTH, WORD_BITS, SHINGLE_BITS = 5, 8, 20
+#: Chance meetings of a fingerprint that blocks_for allows, and shingles of a family that one cell compares.
+CHANCE, CELL_SHINGLES = 4.0, 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -44,7 +56,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
     values = np.array(hashes, np.uint64)
+    return majority(values)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that over half of the 64-bit values have."""
     half, cuts, result = len(values), np.arange(0, len(values), 255), 0
+    if not half:
+        return 0
     for shift in range(8):  # eight byte counters in each word, emptied before they overflow
         lanes = np.add.reduceat((values >> np.uint64(shift)) & _LANES, cuts)
         counts = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
@@ -53,6 +72,21 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return result
 
 
+def shingles(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """The sorted XXH64 values (seed 42) of a text's distinct shingles, and the fingerprint of its distinct words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64), 0
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    kinds = set(words)
+    of_words = majority(np.fromiter((digest(w, 42) for w in kinds), np.uint64, len(kinds)))
+    if len(words) <= width:
+        return np.array([digest(joined, 42)], np.uint64), of_words
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-width].tolist()]
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)), of_words
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(key, fp long, text_hash long) of every row; text_hash tells copies of a key's texts apart."""
     source = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("text_hash"))
@@ -66,7 +100,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return source.mapInArrow(run, schema)
 
 
-def blocks_for(distinct: int, distance: int, chance: float = 4.0) -> int:
+def blocks_for(distinct: int, distance: int, chance: float = CHANCE) -> int:
     """The smallest number of blocks at which chance meetings stay under `chance` a fingerprint."""
     for blocks in range(distance + 1, 4 * distance + 4):
         bits = BITS * (blocks - distance) // blocks
@@ -88,9 +122,18 @@ def _tables(fp, distance: int, blocks: int):
     return F.array(*found)
 
 
-def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+Agree = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _near(rows: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, agree: Agree | None) -> np.ndarray:
+    """Whether rows a and b, whose first line is the fingerprint, are near, and agree in the other lines."""
+    found = np.bitwise_count((rows[0, a] ^ rows[0, b]).view(np.uint64)) <= distance
+    return found & agree(rows[1:, a], rows[1:, b]) if agree else found
+
+
+def _forest(rows: np.ndarray, distance: int, agree: Agree | None) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root) that span the components of one cell's fingerprints: each looks only at what none has reached."""
-    left = np.arange(len(values))
+    left = np.arange(rows.shape[1])
     members, roots = [], []
     while len(left):
         root, left = left[0], left[1:]
@@ -99,7 +142,7 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             reached = np.zeros(len(left), bool)
             for at in range(0, len(front), 256):
                 rest = np.flatnonzero(~reached)
-                near = (np.bitwise_count(values[front[at : at + 256], None] ^ values[left[rest]]) <= distance).any(axis=0)
+                near = _near(rows, front[at : at + 256, None], left[rest], distance, agree).any(axis=0)
                 reached[rest[near]] = True
             front, left = left[reached], left[~reached]
             members.append(front)
@@ -107,18 +150,18 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(members), np.concatenate(roots)) if members else (np.empty(0, int), np.empty(0, int))
 
 
-def _linked(group: np.ndarray, values: np.ndarray, distance: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def _linked(group: np.ndarray, rows: np.ndarray, distance: int, agree: Agree | None = None, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of every run of equal group numbers."""
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     sizes = np.diff(cuts)
     members, roots = [], []
     for start, size in zip(cuts[:-1][sizes > small].tolist(), sizes[sizes > small].tolist()):
-        a, b = _forest(values[start : start + size], distance)
+        a, b = _forest(rows[:, start : start + size], distance, agree)
         members.append(a + start)
         roots.append(b + start)
     keep = np.repeat((sizes > 1) & (sizes <= small), sizes)
     places = np.flatnonzero(keep)
-    group, here = group[places], values[places]
+    group, here = group[places], rows[:, places]
     pairs_a, pairs_b = [], []
     for step in range(1, small):
         if step >= len(places):
@@ -126,7 +169,7 @@ def _linked(group: np.ndarray, values: np.ndarray, distance: int, small: int = 3
         at = np.flatnonzero(group[step:] == group[:-step])
         if not len(at):
             break
-        at = at[np.bitwise_count(here[at] ^ here[at + step]) <= distance]
+        at = at[_near(here, at, at + step, distance, agree)]
         pairs_a.append(at)
         pairs_b.append(at + step)
     if pairs_a:
@@ -146,19 +189,23 @@ def _linked(group: np.ndarray, values: np.ndarray, distance: int, small: int = 3
     return (np.concatenate(members), np.concatenate(roots)) if members else (np.empty(0, int), np.empty(0, int))
 
 
-def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None, cell: int = CELL) -> DataFrame:
-    """(a, b): links that connect whatever is within the distance, directly or by others, among distinct fingerprints `fp`."""
-    blocks = blocks or blocks_for(distinct.count(), distance)
-    keyed = distinct.select("fp", F.explode(_tables(F.col("fp"), distance, blocks)).alias("k")).select("fp", "k.t", "k.bucket")
-    hot = keyed.groupBy("t", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(cell)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None, cell: int = CELL, node: str = "fp", also: Sequence[str] = (), agree: Agree | None = None, chance: float = CHANCE) -> DataFrame:
+    """(a, b): links that connect whatever is within the distance, directly or by others, among distinct fingerprints `fp`.
+
+    Rows go by the whole number in `node`; with agree, pairs must pass it too, on the whole numbers of the columns `also`.
+    """
+    blocks = blocks or blocks_for(distinct.count(), distance, chance)
+    carried = [*dict.fromkeys(["fp", *also, node])]
+    keyed = distinct.select(*carried, F.explode(_tables(F.col("fp"), distance, blocks)).alias("k")).select(*carried, "k.t", "k.bucket")
+    hot = keyed.groupBy("t", "bucket").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > cell)
+    parts = F.ceil(F.coalesce(F.col("n_rows"), F.lit(1)) / F.lit(cell)).cast("int")
+    mine = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
     cells = (
         keyed.join(hot, ["t", "bucket"], "left")
         .withColumn("parts", parts)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("fp", "t", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .select(*carried, "t", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
     names = ["t", "bucket", "i", "j"]
     dealt = cells.repartition(*names).sortWithinPartitions(*names)
@@ -166,7 +213,7 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None, cel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in [*names, "fp"]])
+            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in [*names, *carried]])
             new = new if held is None else np.concatenate([held, new], axis=1)
             if not new.shape[1]:
                 continue
@@ -180,10 +227,11 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None, cel
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if rows.shape[1] > 1:
             group = np.r_[0, np.cumsum((rows[:4, 1:] != rows[:4, :-1]).any(axis=0))]
-            values = np.ascontiguousarray(rows[4])
-            a, b = _linked(group, values.view(np.uint64), distance)
+            own = np.ascontiguousarray(rows[4:])
+            a, b = _linked(group, own[: 1 + len(also)], distance, agree)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], names=["a", "b"])
+                ids = own[carried.index(node)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -203,11 +251,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = split_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = split_join(large, low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         last, edges = edges, stored(small, "edges")
         after = digest(edges)
         forget(last)
@@ -230,17 +277,151 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     owned = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = owned.join(least, "root").select("fp", "component_id", "root")
-    return prints.join(named, "fp").select(key, "fp", "text_hash", "component_id", "root")
+    return split_join(prints, named, "fp").select(key, "fp", "text_hash", "component_id", "root")
+
+
+def described(docs: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
+    """docs with sid, which tells sets of shingles apart, n (their sizes), fp (of words) and sfp (of shingles)."""
+    source = docs.withColumn("text", F.col(text)) if text != "text" else docs
+    kept = [c for c in source.columns if c != "text"]
+    schema = source.select(*kept, *[F.lit(0).cast("long").alias(c) for c in ("sid", "n", "fp", "sfp")]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            found = [shingles(x, width) for x in batch.column("text").to_pylist()]
+            sids = [xxhash.xxh64_intdigest(v.tobytes(), 42) if len(v) else 0 for v, _ in found]
+            numbers = [np.array(x, np.uint64).view(np.int64) for x in (sids, [f for _, f in found], [majority(v) for v, _ in found])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(numbers[0]), pa.array([len(v) for v, _ in found], pa.int64()), pa.array(numbers[1]), pa.array(numbers[2])], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether shingle fingerprints and sizes leave a similarity of 0.8 open."""
+    close = np.bitwise_count((left[0] ^ right[0]).view(np.uint64)) <= SHINGLE_BITS
+    return close & (5 * np.minimum(left[1], right[1]) >= 4 * np.maximum(left[1], right[1]))
+
+
+def _similar(sets: list[np.ndarray], open_: int) -> tuple[list[int], list[int]]:
+    """Links (member, root) that span what a Jaccard similarity of 0.8 or more connects to the first `open_` sets.
+
+    Each set looks only at what none has reached.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [codes[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    mark, members, roots, left = np.zeros(len(known), np.int64), [], [], np.arange(len(sets))
+    while len(left) > 1 and left[0] < open_:
+        root, left = int(left[0]), left[1:]
+        front = [root]
+        while front and len(left):
+            at = front.pop()
+            fits = left[(5 * np.minimum(sizes[left], sizes[at]) >= 4 * np.maximum(sizes[left], sizes[at])) & (sizes[left] > 0)]
+            if not len(fits):
+                continue
+            mark[own[at]] = 1
+            shared = np.add.reduceat(mark[np.concatenate([own[i] for i in fits.tolist()])], np.r_[0, np.cumsum(sizes[fits])[:-1]])
+            mark[own[at]] = 0
+            near = fits[9 * shared >= 4 * (sizes[fits] + sizes[at])]
+            members += near.tolist()
+            roots += [root] * len(near)
+            front += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+    return members, roots
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """(family, centre, centre_text): the member whose shingle fingerprint is nearest to the family's majority."""
+    bit = [F.sum(F.shiftrightunsigned("sfp", k).bitwiseAND(F.lit(1))) for k in range(BITS)]
+    whole = F.lit(0).cast("long")
+    for k, b in enumerate(bit):
+        whole = whole.bitwiseOR(F.when(2 * b > F.count("*"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)))
+    typical = split_join(members.select("family", "sid", "sfp"), members.groupBy("family").agg(whole.alias("typical")), "family")
+    nearest = typical.groupBy("family").agg(F.min(F.struct(F.bit_count(F.col("sfp").bitwiseXOR(F.col("typical"))).alias("off"), "sid")).alias("c"))
+    return members.join(nearest.select(F.col("c.sid").alias("sid")), "sid", "left_semi").select("family", F.col("sid").alias("centre"), F.col("text").alias("centre_text"))
+
+
+def _star(members: DataFrame, width: int) -> DataFrame:
+    """(a, b): members that are similar to their family's centre, and the centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for whole in batches:
+            for batch in slices([whole], "text"):
+                a, b = [], []
+                for sid, text, centre, other in zip(*(batch.column(c).to_pylist() for c in ("sid", "text", "centre", "centre_text"))):
+                    if last[0] != centre:
+                        last = centre, shingles(other, width)[0]
+                    own = shingles(text, width)[0]
+                    if sid != centre and 9 * len(np.intersect1d(own, last[1], assume_unique=True)) >= 4 * (len(own) + len(last[1])):
+                        a.append(sid)
+                        b.append(centre)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return split_join(members.select("family", "sid", "text"), _centres(members), "family").mapInArrow(run, "a long, b long")
+
+
+def similar_links(members: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(a, b): verified links that connect what similarity connects within families; members are (family, sid, n, sfp, text).
+
+    A family is cut into parts of about CELL sets or CELL_SHINGLES shingles.  One of several parts is compared with
+    its centre first, which settles most of a group of copies of one text; what that leaves open then meets all
+    parts, two in a cell.
+    """
+
+    def cut(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("held"))
+        return found.select("family", F.greatest(F.ceil(F.col("many") / CELL), F.ceil(F.col("held") / CELL_SHINGLES), F.lit(1)).cast("int").alias("parts"))
+
+    whole = cut(members)
+    large = stored(split_join(members, whole.where("parts > 1"), "family").drop("parts"), "large")
+    star = stored(_star(large, width), "star")
+    settled = star.select(F.col("a").alias("sid")).union(star.select(F.col("b").alias("sid")).distinct())
+    flagged = members.join(settled.withColumn("settled", F.lit(True)), "sid", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    flagged = stored(flagged, "flagged")
+    counts = cut(flagged.where("not settled")).join(cut(flagged.where("settled")).withColumnRenamed("parts", "more"), "family", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    rows = split_join(flagged, counts, "family")  # families with nothing open drop out here
+    mine = F.pmod(F.xxhash64("sid"), F.when(F.col("settled"), F.col("more")).otherwise(F.col("parts"))).cast("int")
+    ends = F.when(F.col("settled"), F.col("parts")).otherwise(F.col("parts") + F.col("more"))
+    place = F.when(F.col("settled"), F.col("parts") + F.col("mine")).otherwise(F.col("mine"))
+    cells = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), ends - 1))).withColumn("place", place)
+    keys = ["family", "i", "j"]
+    cells = cells.select("family", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "settled", "sid", "text")
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys, "settled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups((b for x in batches for b in slices([x], "text")), keys):
+            if cell.num_rows > 1:
+                sid = cell.column("sid").to_numpy()
+                open_ = cell.num_rows - pc.sum(cell.column("settled")).as_py()
+                a, b = _similar([shingles(x, width)[0] for x in cell.column("text").to_pylist()], open_)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b])], names=["a", "b"])
+
+    return star.union(cells.mapInArrow(run, "a long, b long"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest key (null last), then text hash.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest key (null last), then text hash.
 
-    Rows that repeat key and text count as copies of one another, so one of them stays.
+    Rows are near-duplicates at a Jaccard similarity of 0.8 or more of their shingles, directly or by others; texts
+    without words are copies of each other, and so are rows that repeat key and text.
     """
-    found = near_duplicates(docs, key, text, width, distance)
-    order = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("id"), F.col("text_hash").alias("h"), "fp")
-    first = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h")).distinct()
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    prints = stored(described(rows, "text", width), "prints")
+    sets = stored(prints.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("n", "fp", "sfp", "text_hash")]), "sets")
+    families = components(links(sets, WORD_BITS, node="sid", also=["sfp", "n"], agree=_alike, chance=1e4))
+    named = families.select(F.col("root").alias("family"), F.col("node").alias("sid"))
+    named = named.union(named.select("family", F.col("family").alias("sid")).distinct())
+    members = stored(sets.join(named, "sid").select("family", "sid", "n", "sfp", "text_hash"), "members")
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    wanted = texts.join(members.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    roots = components(similar_links(stored(members.join(wanted, "text_hash"), "texts"), width))
+    order = F.struct(F.col("key").isNull().alias("absent"), F.col("key").alias("id"), F.col("text_hash").alias("h"))
+    grouped = prints.select("key", "text_hash", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    first = grouped.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min(order).alias("w"))
+    first = first.select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h"))
     (h,) = fresh(docs, "text_hash")
     marked = docs.withColumn(h, F.xxhash64(text))
     kept = marked.join(first, marked[key].eqNullSafe(first["w_id"]) & (marked[h] == first["w_h"]), "left_semi")

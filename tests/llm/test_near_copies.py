@@ -1,11 +1,11 @@
-"""Near-duplicates of five-word Jaccard 0.8 or more against all pairs, and defined cases."""
+"""The pipeline's near-duplicates, five-word Jaccard 0.8 or more, against all pairs, and defined cases."""
 
 import random
 
 import pytest
 
 import corpus_pipeline
-from quern.llm import similar, simhash
+from quern.llm import simhash
 
 
 def slow_set(text):
@@ -46,18 +46,31 @@ def planted():
     return texts + [f"{line} {' '.join(rng.choices(words, k=9))}" for _ in range(40)] + ["x " * 30_000]
 
 
+@pytest.mark.parametrize("cell", [2048, 3])
 @pytest.mark.parametrize("real", [False, True])
-def test_components_as_all_pairs(spark, real):
+def test_groups_as_all_pairs(spark, monkeypatch, real, cell):
+    """What stays is what all pairs give, but for links that the fingerprints miss; small cells take the way of large families."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     rows = planted()
     if real:
         rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    least = {}
-    got = similar.near_duplicates(docs).collect()
-    for r in sorted(got, key=lambda r: r.doc_id):
-        least.setdefault(r.root, r.doc_id)
-    assert len(got) == len(rows)
-    assert [least[r.root] for r in sorted(got, key=lambda r: r.doc_id)] == slow_roots(rows)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    want = {i for i, r in enumerate(slow_roots(rows)) if i == r}
+    assert want <= kept and len(kept - want) <= 0.05 * (len(rows) - len(want))
+
+
+def test_similarity_links_as_all_pairs():
+    rows = planted()
+    sets = [simhash.shingles(t)[0] for t in rows]
+    for open_ in (len(sets), 20):
+        a, b = simhash._similar(sets, open_)
+        root = list(range(len(sets)))
+        for x, y in zip(a, b):
+            root[x] = y
+        want = slow_roots(rows)
+        for i in range(open_):  # open sets have the partners that all pairs give
+            assert {j for j in range(len(sets)) if root[j] == root[i] and len(sets[j])} == {j for j in range(len(sets)) if want[j] == want[i] and len(sets[j])} or not len(sets[i])
 
 
 def test_stage_drops_what_four_bits_do_not_link(spark, sf):
@@ -71,7 +84,7 @@ def test_stage_drops_what_four_bits_do_not_link(spark, sf):
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (None, "a b c"), (7, "A B C"), (7, "A B C"), (7, "d e f"), (8, "d e f g h i j k l m n o p q r s t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' as text_hash", "'clash' as root", "'clash' as sid")
-    kept = similar.keep_one(docs)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == [(7, "A B C"), (7, "d e f"), (8, rows[-1][1])]
-    assert kept.count() == 4 and similar.keep_one(docs.limit(0)).count() == 0
+    assert kept.count() == 4 and simhash.keep_one(docs.limit(0)).count() == 0

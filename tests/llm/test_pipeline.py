@@ -7,7 +7,7 @@ import corpus_pipeline
 from quern.llm import langid, pieces
 from tests.llm.test_credentials import BASE, WEAK, plain
 from tests.llm.test_positions import brute
-from tests.llm.test_simhash import slow_components, slow_print
+from tests.llm.test_near_copies import slow_roots
 
 
 def hidden(text):
@@ -29,7 +29,7 @@ def expected(rows, items, model):
     kept = [(i, t) for i, t in rows if (p := model.predict(t))[0] != "und" and p[1] >= 0.35]
     yield kept
     kept = sorted(kept, key=lambda r: (r[0] is None, r[0]))
-    roots = slow_components([slow_print(t) for _, t in kept])
+    roots = slow_roots([t for _, t in kept])
     kept = [r for n, r in enumerate(kept) if roots[n] == n]
     yield kept
     kept = [r for r, found in zip(kept, brute(kept, items)) if not found[3]]
