@@ -3,42 +3,51 @@
 A model has, for each language, log relative frequencies of words and of the character n-grams of words (with
 marks at both ends).  A word that any language knows is scored by its word frequencies; an unseen word is cut
 into its n-grams of the greatest length of which the model knows one, the mean of whose scores counts for the
-word; a word without any known letter says nothing.  Documents take the language of the greatest sum; the score
+word; a word without any known n-gram says nothing.  Documents take the language of the greatest sum; the score
 is that language's share after a softmax of the sums, tempered so that long texts do not all score 1.
 
-fit() learns from a bounded sample of labelled rows, chosen by hash, and keeps a bounded number of the most
-frequent words and n-grams of each language, so the model that is sent to the executors has a known bound.
+Words are runs of letters and marks (Unicode categories L and M) that begin with a letter, so numerals and signs are
+none, and scripts that write vowels as marks keep their words whole.
+
+fit() learns from a bounded sample of labelled rows, ROWS and BYTES in expectation, dealt evenly to the languages and
+chosen by hash.  The model has every word and n-gram of the sample, as sparse rows of what the languages that know it
+score above those that do not; so its size is bounded by the sample's, whatever the number of languages.
 
 Defined cases: texts that are null or have no letter get `und` with score 0; letters of no known n-gram leave the
 languages level, and the first in alphabetical order is given; rows without text or label teach nothing; without
-any labelled row every text is `und`; repeated rows stay repeated; ties go to the first language in order.
+any labelled row every text is `und`; repeated rows stay repeated; ties go to the first language in order; a very long
+text is one row's work, its words counted once; where docs has columns of the new ones' names, underscores are put
+behind the latter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, slices
 
 UNDETERMINED = "und"
 LONGEST = 5
-#: Bounds of the fit: labelled rows of a language, and words and n-grams that the model keeps of it; most languages.
-ROWS, WORDS, GRAMS, LANGUAGES = 3000, 30_000, 30_000, 256
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Unseen words whose scores a worker keeps.
+#: Bounds of the fit: labelled rows, and bytes of their texts, in expectation.
+ROWS, BYTES = 6000, 8 << 20
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Added to every count.
+SMOOTH = 0.5
+#: Unseen words whose n-grams a worker keeps.
 CACHE = 200_000
 
 
 def tokens(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    return _WORD.findall(text.lower()) if text else []
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -48,71 +57,93 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """words and grams give rows of the table of scores, a column for each language."""
+    """words and grams give rows of sparse scores: languages langs_of[cuts[i]:cuts[i + 1]] score values[...] above floors[kind]."""
 
     langs: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
+    floors: np.ndarray
+    cuts: np.ndarray
+    langs_of: np.ndarray
+    values: np.ndarray
 
     def __post_init__(self) -> None:
-        # scores of unseen words stand below those of the model
-        self.known, self.used, self.cache = len(self.table), 0, {}
-        self.rows = np.zeros((self.known + 1024, len(self.langs)), np.float32)
-        self.rows[: self.known] = self.table
-
-    def unseen(self, word: str) -> np.ndarray:
+        self.cache: dict[str, tuple[int, list[int]]] = {}
+
+    @classmethod
+    def of(cls, langs: list[str], kinds: np.ndarray, names: list[str], lang: np.ndarray, n: np.ndarray) -> Model:
+        """From rows (kind: 0 for words, else the length of n-grams; name; language; count)."""
+        totals = np.zeros((LONGEST + 1, len(langs)))
+        np.add.at(totals, (kinds, lang), n)
+        words: dict[str, int] = {}
+        parts: dict[str, int] = {}
+        for kind, name in zip(kinds.tolist(), names):
+            found = parts if kind else words
+            if name not in found:
+                found[name] = len(found)
+        parts = {k: len(words) + v for k, v in parts.items()}
+        at = np.fromiter((parts[x] if k else words[x] for k, x in zip(kinds.tolist(), names)), np.int64, len(names))
+        size = np.where(np.arange(LONGEST + 1) > 0, len(parts), len(words))
+        below = totals + SMOOTH * size[:, None]
+        order = np.lexsort((lang, at))
+        value = np.log(n + SMOOTH) - np.log(SMOOTH)
+        cuts = np.r_[0, np.cumsum(np.bincount(at, minlength=len(words) + len(parts)))]
+        return cls(langs, words, parts, np.log(SMOOTH) - np.log(below), cuts, lang[order].astype(np.int32), value[order])
+
+    def unseen(self, word: str) -> tuple[int, list[int]]:
+        """The greatest length of which an n-gram is known, and the rows of these; 0 and none."""
         for n in range(LONGEST, 0, -1):
             found = [v for g in grams(word, n) if (v := self.grams.get(g)) is not None]
             if found:
-                return self.table[found].sum(axis=0) / np.float32(len(found))
-        return np.zeros(len(self.langs), np.float32)
-
-    def _added(self, word: str) -> int:
-        """The row of an unseen word, which is kept for the next time."""
-        at = self.known + self.used
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(1024, self.used), len(self.langs)), np.float32)])
-        self.rows[at] = self.unseen(word)
-        self.cache[word] = at
-        self.used += 1
-        return at
-
-    def word(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        return self.table[at] if at is not None else self.unseen(word)
+                return n, found
+        return 0, []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(tokens(text))
         if not counts or not self.langs:
             return UNDETERMINED, 0.0
-        if self.used + len(counts) > CACHE:
-            self.cache, self.used = {}, 0
-        words, cache = self.words, self.cache
-        at = []
-        for w in counts:
-            i = words.get(w)
-            if i is None and (i := cache.get(w)) is None:
-                i = self._added(w)
-            at.append(i)
-        n = np.fromiter(counts.values(), np.float64, len(counts))
-        sums = n @ self.rows[at]
-        sums = sums * min(1.0, 12 / n.sum())
+        if len(self.cache) + len(counts) > CACHE:
+            self.cache.clear()
+        words, cache, at, weight, floor = self.words, self.cache, [], [], [0.0] * (LONGEST + 1)
+        for word, n in counts.items():
+            i = words.get(word)
+            if i is not None:
+                at.append(i)
+                weight.append(n)
+                floor[0] += n
+                continue
+            if (found := cache.get(word)) is None:
+                found = cache[word] = self.unseen(word)
+            kind, rows = found
+            if rows:
+                at += rows
+                weight += [n / len(rows)] * len(rows)
+                floor[kind] += n
+        rows = np.array(at, np.int64)
+        begin = self.cuts[rows]
+        many = self.cuts[rows + 1] - begin
+        place = np.repeat(begin - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(int(many.sum())) if len(rows) else rows
+        sums = np.bincount(self.langs_of[place], self.values[place] * np.repeat(np.array(weight, np.float64), many), len(self.langs)) + floor @ self.floors
+        sums *= min(1.0, 12 / sum(counts.values()))
         shares = np.exp(sums - sums.max())
         best = int(np.argmax(sums))
         return self.langs[best], float(shares[best] / shares.sum())
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, rows: int = ROWS, words: int = WORDS, most_grams: int = GRAMS) -> Model:
-    """Learn from at most about `rows` labelled rows of each language; a language has fewer if the table has."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, rows: int = ROWS, most_bytes: int = BYTES) -> Model:
+    """Learn from labelled rows: about `rows` and `most_bytes` of them at most, as many of each language if it has them."""
     labelled = docs.where((train if train is not None else F.lit(True)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r.lang: r.n for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).sort(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    langs = sorted(counts)
-    if not langs:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows / counts[k])))])
-    unit = F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(F.col(lang).isin(langs)).where(unit < rate[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)).alias("unit"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    kinds, every, size = counts.agg(F.count("*"), F.sum("n"), F.sum("size")).first()
+    if not kinds:
+        empty = np.zeros(0, np.int64)
+        return Model([], {}, {}, np.zeros((LONGEST + 1, 0)), np.zeros(1, np.int64), empty, np.zeros(0))
+    if kinds <= rows:  # a row for each language
+        rate = F.least(F.lit(rows / kinds) / F.col("n"), F.lit(most_bytes / kinds) / F.col("size"))
+        sample = labelled.join(F.broadcast(counts.select("lang", rate.alias("rate"))), "lang").where("unit < rate or rate is null")
+    else:
+        sample = labelled.where(F.col("unit") < min(1.0, rows / every, most_bytes / max(size, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):  # counts of a slice at a time; Spark sums them
@@ -132,37 +163,27 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         n = len(counts)
         return pa.RecordBatch.from_arrays([pa.array([language] * n, pa.string()), pa.array([kind] * n, pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
-    summed = sample.mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("lang", (F.col("kind") == 0)).orderBy(F.desc("n"), "kind", "gram")
-    whole = Window.partitionBy("lang", "kind")
-    kept = summed.withColumn("total", F.sum("n").over(whole)).withColumn("place", F.row_number().over(by)).where(F.col("place") <= F.when(F.col("kind") == 0, words).otherwise(most_grams))
+    summed = sample.select("lang", "text").mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    got = summed.toArrow()  # bounded by the sample
+    order = pc.sort_indices(got, [("kind", "ascending"), ("gram", "ascending"), ("lang", "ascending")])
+    got = got.take(order)
+    langs = sorted(pc.unique(got.column("lang")).to_pylist())
     at = {k: i for i, k in enumerate(langs)}
-    totals: dict[int, np.ndarray] = {n: np.ones(len(langs)) for n in range(LONGEST + 1)}
-    tables: tuple[dict, dict] = ({}, {})
-    kinds: dict[str, int] = {}
-    for r in kept.collect():
-        totals[r.kind][at[r.lang]] = r.total
-        row = tables[r.kind > 0].setdefault(r.gram, np.zeros(len(langs)))
-        row[at[r.lang]] += r.n
-        if r.kind:
-            kinds[r.gram] = r.kind
-    smooth = 0.5
-    known = [np.log((c + smooth) / (totals[0] + smooth * len(tables[0]))) for c in tables[0].values()]
-    parts = [np.log((c + smooth) / (totals[kinds[g]] + smooth * len(tables[1]))) for g, c in tables[1].items()]
-    rows = np.array([*known, *parts], np.float32).reshape(-1, len(langs))
-    return Model(langs, {w: i for i, w in enumerate(tables[0])}, {g: len(known) + i for i, g in enumerate(tables[1])}, rows)
+    lang_rows = np.array([at[x] for x in got.column("lang").to_pylist()], np.int64)
+    return Model.of(langs, got.column("kind").to_numpy().astype(np.int64), got.column("gram").to_pylist(), lang_rows, got.column("n").to_numpy().astype(np.float64))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score; no column but the text is looked at."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.table))
-    (body,) = fresh(docs, "body")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    prediction, score = fresh(docs, prediction, score)
+    (body,) = fresh(docs.withColumns({prediction: F.lit(""), score: F.lit(0.0)}), "body")
     source = docs.withColumn(body, F.col(text))
     schema = docs.withColumn(prediction, F.lit("")).withColumn(score, F.lit(0.0)).schema
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*sent.value)
+        model = sent.value
         for batch in slices(batches, body, 2 << 20):
             found = [model.predict(x) for x in batch.column(body).to_pylist()]
             yield pa.RecordBatch.from_arrays(
