@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sources.storage import forget, shared_dir, stored  # noqa: F401  (what the operators take from here)
+from quern.sources.storage import forget, is_scan, scan_positions, shared_dir, stored  # noqa: F401  (what the operators take from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def with_uid(df: DataFrame, name: str) -> DataFrame:
+    """df with a number that tells rows apart and stays: by file and row where df is a plain scan; anything else is stored first."""
+    return scan_positions(df, name) if is_scan(df) else stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each have about `most` bytes; a longer text is alone."""
     for batch in batches:
