@@ -45,7 +45,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_units", "n_matches", F.concat_ws(",", "licenses").alias("licenses"), "best_dice")
+    return found.select("doc_id", "n_units", "n_matches", "n_windows", F.concat_ws(",", "licenses").alias("licenses"), "best_dice")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,20 @@ def test_standard_texts_are_found(name, text):
     known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
     for body in (text, "\n".join("# " + x if x else x for x in text.split("\n"))):
         assert name in {n for unit in licenses.units(body) for n, _, _ in known.of(unit)}
+
+
+@pytest.mark.parametrize("name", sorted(licenses.WHOLE))
+def test_whole_licences_in_longer_texts(name):
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    of = lambda text: {known.all[i][1] for i in known.within(licenses.words(text))}
+    parts = licenses.WHOLE[name]
+    assert name in of("alpha beta gamma " * 30 + " Copyright 2024 Jane Doe. " + "\n\n * ".join(parts) + " See the file for details. " + "delta " * 50)
+    assert not of("alpha beta gamma " * 200) and not of("")
+
+
+def test_notices_within_longer_lines():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    of = lambda text: {known.all[i][1] for i in known.within(licenses.words(text))}
+    gpl = licenses.TEMPLATES["GPL-3.0"][0]
+    assert of(f"Copyright 2024 Jane Doe. {gpl} See LICENSE for details.") == {"GPL-3.0"}
+    assert of(f"{gpl.replace('work', 'whole work')} {'x ' * 500}") == {"GPL-3.0"}

@@ -36,7 +36,9 @@ def test_defined_cases(spark):
     split = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met"
     rows = [(1, None), (2, ""), (3, "word"), (4, mit), (4, mit), (5, f"a b\n{mit}\n\nc\n{mit.upper()}"), (None, split), (7, "x y " * 50_000 + f"\n{mit}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("body", F.lit(1)).withColumn("n_units", F.lit("clash"))
-    got = sorted(((str(r.doc_id), r.n_units, r.n_matches, ",".join(r.licenses), r.best_dice) for r in licenses.scan(docs).collect()), key=str)
+    found = licenses.scan(docs)
+    assert found.columns == [*docs.columns, "n_units_", "n_matches", "n_windows", "licenses", "best_dice"]
+    got = sorted(((str(r.doc_id), r.n_units_, r.n_matches, ",".join(r.licenses), r.best_dice) for r in found.collect()), key=str)
     assert [g[:4] for g in got] == [("1", 0, 0, ""), ("2", 0, 0, ""), ("3", 1, 0, ""), ("4", 1, 1, "MIT"), ("4", 1, 1, "MIT"), ("5", 6, 4, "MIT"), ("7", 3, 1, "MIT"), ("None", 4, 1, "BSD-2-Clause")]
     assert got[3][4] == pytest.approx(1.0)
     assert licenses.scan(docs.limit(0)).count() == 0
