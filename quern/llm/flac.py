@@ -6,12 +6,17 @@ by a shift, and linear predictors (fixed ones are a case of these) are run the s
 and the MD5 of the samples are verified; a frame that fails raises.  Frame starts are found by the sync code, the
 header's CRC-8 and the expected number, and confirmed by CRC-16.
 
-The encoder writes mono 8-bit streams of 576-sample frames: constant, fixed predictors of order 0 to 2 with Rice
-partitions, or verbatim where that is smaller, a seek table, and the MD5.  The decoder takes mono and stereo
-streams of 4 to 24 bits with constant, verbatim, fixed and LPC subframes, wasted bits and escaped partitions.
+The encoder writes mono 8-bit streams of 576-sample frames: constant, fixed predictors of order 0 to 2, or a linear
+predictor of order 4 that is solved for the frame, with Rice partitions, or verbatim where that is smaller, a seek
+table, and the MD5.  The decoder takes mono and stereo streams of 4 to 24 bits with constant, verbatim, fixed and LPC
+subframes, wasted bits and escaped partitions.
 
-Defined cases of the column functions: a null payload counts as empty; a null stream gives no blocks; repeated rows
-stay repeated; other columns stay as they are; an empty table gives an empty result.
+pcm_column() turns streams into PCM blocks with their sample offsets, from which payload_column() puts the payload
+together again.  Samples are held in as many bytes as they have, so a very long stream takes a few times its size.
+
+Defined cases of the column functions: a null payload counts as empty; a null stream gives no blocks, and no blocks a
+null payload; repeated rows stay repeated; other columns stay as they are, and where one has a new column's name,
+underscores are put behind the latter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices
+from quern.llm.common import fresh, slices
 
 FRAME = 576
 SEEK_FRAMES = 16
 #: Frames that are worked on side by side.
 SIDE = 8192
 ENCODE_SIDE = 256
+#: The encoder's linear predictors: order, bits of a coefficient, and their shift; what share of the residuals they must save.
+ORDER, PRECISION, SHIFT, SAVED = 4, 8, 6, 0.07
+#: Samples of a PCM block.
+BLOCK = 65_536
 
 
 class FlacError(ValueError):
@@ -116,6 +125,11 @@ def _subframes(samples: np.ndarray, parts: int = 8) -> list[bytes]:
     r = residuals[0]
     for o in (1, 2):
         r = np.where((order == o)[:, None], residuals[o], r)
+    factors = _predictors(x)
+    guess = sum(factors[:, j, None] * x[:, ORDER - 1 - j : length - 1 - j] for j in range(ORDER)) >> SHIFT
+    solved = np.pad(x[:, ORDER:] - guess, ((0, 0), (ORDER, 0)))
+    lpc = np.abs(solved).sum(axis=1) < (1 - SAVED) * sums.min(axis=0)
+    r, order = np.where(lpc[:, None], solved, r), np.where(lpc, ORDER, order)
     u = (r << 1) ^ (r >> 31)
     place = np.arange(length)
     warm = place < order[:, None]
@@ -127,7 +141,8 @@ def _subframes(samples: np.ndarray, parts: int = 8) -> list[bytes]:
     size = np.where(warm, 8, q + 1 + k)
     before = np.where(place % (length // parts) == 0, 4, 0)[None, :].repeat(count, axis=0)
     before[:, 0] = 8
-    before[np.arange(count), order] += 10
+    extra = np.where(lpc, 9 + ORDER * PRECISION, 0)
+    before[np.arange(count), order] += 10 + extra
     bits = (before + size).sum(axis=1)
     plain = bits >= 8 * length + 8
     flat = (x == x[:, :1]).all(axis=1)
@@ -138,7 +153,7 @@ def _subframes(samples: np.ndarray, parts: int = 8) -> list[bytes]:
     for i in np.flatnonzero(plain & ~flat).tolist():
         out[i] = b"\x02" + samples[i].tobytes()
     if len(coded):
-        u, k, q, size, before, warm, order, x = (a[coded] for a in (u, k, q, size, before, warm, order, x))
+        u, k, q, size, before, warm, order, x, lpc, factors = (a[coded] for a in (u, k, q, size, before, warm, order, x, lpc, factors))
         nbytes = (bits[coded] + 7) // 8
         base = np.r_[0, np.cumsum(nbytes)]
         start = np.cumsum(before + size, axis=1) - size + 8 * base[:-1, None]
@@ -154,13 +169,29 @@ def _subframes(samples: np.ndarray, parts: int = 8) -> list[bytes]:
         first = start[rows, order]
         edges = np.arange(length // parts, length, length // parts)
         stream = put(np.where(warm, start, start + q), np.where(warm, x & 0xFF, 1 << k | u & ((1 << k) - 1)), np.where(warm, 8, k + 1))
-        stream += put(8 * base[:-1], 0b00010000 | order << 1, 8) + put(first - 10, np.full(len(rows), 3), 6) + put(first - 4, k[:, 0], 4) + put(start[:, edges] - 4, k[:, edges], 4)
+        kind = np.where(lpc, 0b01000000 | (order - 1) << 1, 0b00010000 | order << 1)
+        at = (first - 10 - 9 - ORDER * PRECISION)[lpc]
+        stream += put(at, np.full(len(at), (PRECISION - 1) << 5 | SHIFT), 9)
+        for j in range(ORDER):
+            stream += put(at + 9 + j * PRECISION, factors[lpc, j] & (1 << PRECISION) - 1, PRECISION)
+        stream += put(8 * base[:-1], kind, 8) + put(first - 10, np.full(len(rows), 3), 6) + put(first - 4, k[:, 0], 4) + put(start[:, edges] - 4, k[:, edges], 4)
         packed = stream.astype(np.uint8).tobytes()
         for i, a, b in zip(coded.tolist(), base[:-1].tolist(), base[1:].tolist()):
             out[i] = packed[a:b]
     return out
 
 
+def _predictors(x: np.ndarray) -> np.ndarray:
+    """[row, coefficient] of each row's linear predictor: the normal equations of its autocorrelation, rounded."""
+    v = x.astype(np.float64)
+    lags = np.stack([(v[:, k:] * v[:, : v.shape[1] - k]).sum(axis=1) for k in range(ORDER + 1)], axis=1)
+    place = np.abs(np.subtract.outer(np.arange(ORDER), np.arange(ORDER)))
+    matrix = lags[:, place] + np.eye(ORDER) * (lags[:, :1, None] * 1e-6 + 1)
+    found = np.linalg.solve(matrix, lags[:, 1:, None])[:, :, 0]
+    most = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.rint(found * (1 << SHIFT)), -most, most).astype(np.int32)
+
+
 def encode(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
     """FLAC streams of 8-bit mono samples (byte - 128); each payload is a positive multiple of 576 bytes."""
     if not payloads:
@@ -489,7 +520,7 @@ def _decode_frames(streams: list[bytes], frames: list[tuple[int, Frame]]) -> lis
             if crc16(whole).any():
                 raise FlacError("a frame's CRC-16 is wrong")
             cut = [w[frames[i][1].body - frames[i][1].start : -2] for i, w in zip(part, whole)]
-            for i, x in zip(part, _samples(cut, block, channel, bits)):
+            for i, x in zip(part, _samples(cut, block, channel, bits).astype(np.int8 if bits <= 8 else np.int16 if bits <= 16 else np.int32)):
                 out[i] = x
     return out
 
@@ -510,7 +541,12 @@ def _settle(stream: bytes, frames: list[Frame]) -> list[Frame]:
 
 
 def decode(streams: list[bytes], verify: bool = True) -> list[tuple[Info, np.ndarray]]:
-    """(info, [sample, channel]) of each stream; checksums, sizes and MD5 are verified."""
+    """(info, [sample, channel]) of each stream, as 64-bit numbers; checksums, sizes and MD5 are verified."""
+    return [(info, x.astype(np.int64)) for info, x in _decoded(streams, verify)]
+
+
+def _decoded(streams: list[bytes], verify: bool = True) -> list[tuple[Info, np.ndarray]]:
+    """As decode(), in numbers just wide enough."""
     infos, frames = [info_of(s) for s in streams], []
     for i, (stream, info) in enumerate(zip(streams, infos)):
         frames += [(i, f) for f in frames_of(stream, info)]
@@ -524,7 +560,7 @@ def decode(streams: list[bytes], verify: bool = True) -> list[tuple[Info, np.nda
         per[i].append(x)
     out = []
     for info, own in zip(infos, per):
-        samples = np.concatenate(own) if own else np.zeros((0, info.channels), np.int64)
+        samples = np.concatenate(own) if own else np.zeros((0, info.channels), np.int8)
         if info.total and len(samples) != info.total:
             raise FlacError(f"{len(samples)} samples instead of {info.total}")
         if verify and any(info.md5) and hashlib.md5(pcm(samples, info.bits)).digest() != info.md5:
@@ -553,68 +589,110 @@ def read_at(stream: bytes, sample: int, count: int) -> np.ndarray:
             wanted.append((at, f))
         at += f.block
     parts = _decode_frames([stream], [(0, f) for _, f in wanted])
-    joined = np.concatenate(parts) if parts else np.zeros((0, info.channels), np.int64)
+    joined = np.concatenate(parts).astype(np.int64) if parts else np.zeros((0, info.channels), np.int64)
     begin = sample - wanted[0][0] if wanted else 0
     return joined[begin : begin + count]
 
 
 # ---- columns
 
+BLOCKS = "array<struct<sample_offset:bigint,n_samples:int,pcm:binary>>"
+_BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
+
 
 def encode_column(docs: DataFrame, payload: str, media: str = "media") -> DataFrame:
     """docs with a FLAC stream of a binary column: bytes 255 fill it up to a positive multiple of 576."""
+    media, body = fresh(docs, media, "body")
     schema = docs.withColumn(media, F.lit(None).cast("binary")).schema
     width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, payload, 6 << 20):
-            padded = [b + b"\xff" * (-len(b) % FRAME or (0 if b else FRAME)) for b in (x or b"" for x in batch.column(payload).to_pylist())]
+        for batch in slices(batches, body, 6 << 20):
+            padded = [b + b"\xff" * (-len(b) % FRAME or (0 if b else FRAME)) for b in (x or b"" for x in batch.column(body).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], pa.array(encode(padded), pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(body, F.col(payload)).mapInArrow(run, schema)
 
 
-def pcm_blocks(media_rows: DataFrame, key: str, media: str = "media", samples: int = 65_536) -> DataFrame:
-    """(key, block, sample_offset, n_samples, channels, bits, pcm): the decoded samples in blocks of so many."""
-    source = media_rows.select(key, media)
-    schema = source.select(key).schema.simpleString()[7:-1] + ", block int, sample_offset long, n_samples int, channels int, bits int, pcm binary"
+def pcm_column(media_rows: DataFrame, media: str = "media", samples: int = BLOCK) -> DataFrame:
+    """media_rows, without the stream, with its blocks (sample_offset, n_samples, pcm), channels, bits, media_bytes and media_sha256."""
+    kept = [c for c in media_rows.columns if c != media]
+    kinds = {"blocks": F.lit(None).cast(BLOCKS), **{k: F.lit(None).cast(t) for k, t in (("channels", "int"), ("bits", "int"), ("media_bytes", "long"), ("media_sha256", "string"))}}
+    schema = media_rows.select(*kept, *[v.alias(k) for k, v in zip(fresh(media_rows.select(*kept), *kinds), kinds.values())]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, media, 6 << 20):
-            keys, streams = batch.column(key), batch.column(media).to_pylist()
-            there = [i for i, s in enumerate(streams) if s is not None]
-            for i, (info, x) in zip(there, decode([streams[i] for i in there])):
-                starts = range(0, len(x), samples)
-                cut = [x[a : a + samples] for a in starts]
-                n = len(cut)
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array([i] * n)), pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(c) for c in cut], pa.int32()), pa.array([info.channels] * n, pa.int32()), pa.array([info.bits] * n, pa.int32()), pa.array([pcm(c, info.bits) for c in cut], pa.binary())],
-                        names=[key, "block", "sample_offset", "n_samples", "channels", "bits", "pcm"],
-                    )
-
-    return source.mapInArrow(run, schema.replace(":", " "))
-
-
-def features(x: np.ndarray) -> str:
-    """Peak, energy and sign changes of samples, and the mean's numerator; whole numbers, so exact."""
-    flat = x.ravel()
-    changes = int(((flat[1:] < 0) != (flat[:-1] < 0)).sum())
-    return f"n={len(flat)};sum={int(flat.sum())};peak={int(np.abs(flat).max(initial=0))};energy={int((flat * flat).sum())};changes={changes}"
+            streams = batch.column(media).to_pylist()
+            found = iter(_decoded([s for s in streams if s is not None]))
+            rows: list[tuple] = []
+            for s in streams:
+                if s is None:
+                    rows.append((None, None, None, None, None))
+                    continue
+                info, x = next(found)
+                cut = [{"sample_offset": a, "n_samples": min(samples, len(x) - a), "pcm": pcm(x[a : a + samples], info.bits)} for a in range(0, len(x), samples)]
+                rows.append((cut, info.channels, info.bits, len(s), hashlib.sha256(s).hexdigest()))
+            added = [pa.array(values, kind) for values, kind in zip(zip(*rows), (_BLOCKS, pa.int32(), pa.int32(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *added], names=schema.names)
 
+    return media_rows.mapInArrow(run, schema)
 
-def read_back(media_rows: DataFrame, media: str = "media") -> DataFrame:
-    """media_rows, without the stream, with what its decoded samples give: payload (byte = sample + 128), media_bytes, media_sha256, feature."""
-    kept = [c for c in media_rows.columns if c != media]
-    schema = media_rows.select(*kept, F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("long").alias("media_bytes"), F.lit("").alias("media_sha256"), F.lit("").alias("feature")).schema
+
+def pcm_blocks(media_rows: DataFrame, key: str, media: str = "media", samples: int = BLOCK) -> DataFrame:
+    """(key, block, sample_offset, n_samples, channels, bits, pcm): a row for each PCM block of so many samples."""
+    found = pcm_column(media_rows.select(F.col(key).alias("k"), F.col(media).alias("media")), "media", samples)
+    each = found.select(F.col("k").alias(key), "channels", "bits", F.posexplode("blocks").alias("block", "b"))
+    return each.select(key, "block", "b.sample_offset", "b.n_samples", "channels", "bits", "b.pcm")
+
+
+def features(blocks: list[np.ndarray]) -> str:
+    """Peak, energy and sign changes of samples, and the mean's numerator; whole numbers, so exact."""
+    n = total = peak = energy = changes = 0
+    last = None
+    for block in blocks:
+        flat = block.astype(np.int64).ravel()
+        if not len(flat):
+            continue
+        sign = flat < 0
+        changes += int((sign[1:] != sign[:-1]).sum()) + (last is not None and bool(sign[0]) != last)
+        last = bool(sign[-1])
+        n, total, peak, energy = n + len(flat), total + int(flat.sum()), max(peak, int(np.abs(flat).max())), energy + int((flat * flat).sum())
+    return f"n={n};sum={total};peak={peak};energy={energy};changes={changes}"
+
+
+def payload_column(rows: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """rows, without their blocks of 8-bit samples, with the payload (byte = sample + 128) and a feature of the samples.
+
+    Blocks are put in the order of their offsets, which must leave no gap.
+    """
+    kept = [c for c in rows.columns if c != blocks]
+    payload, feature = fresh(rows.select(*kept), "payload", "feature")
+    schema = rows.select(*kept, F.lit(None).cast("binary").alias(payload), F.lit(None).cast("string").alias(feature)).schema
+
+    def whole(found: list[dict] | None) -> tuple[bytes | None, str | None]:
+        if found is None:
+            return None, None
+        found = sorted(found, key=lambda b: b["sample_offset"])
+        at, parts = 0, []
+        for b in found:
+            if b["sample_offset"] != at or len(b["pcm"]) != b["n_samples"]:
+                raise FlacError("the blocks of a stream leave a gap")
+            at += b["n_samples"]
+            parts.append(np.frombuffer(b["pcm"], np.int8))
+        return b"".join((p.view(np.uint8) ^ np.uint8(0x80)).tobytes() for p in parts), features(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, media, 6 << 20):
-            streams = batch.column(media).to_pylist()
-            found = [x for _, x in decode(streams)]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array([(x + 128).astype(np.uint8).tobytes() for x in found], pa.binary()), pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.array([features(x) for x in found])],
-                names=schema.names,
-            )
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [whole(x) for x in part.column(blocks).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array([p for p, _ in made], pa.binary()), pa.array([f for _, f in made], pa.string())], names=schema.names)
 
-    return media_rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def read_back(media_rows: DataFrame, media: str = "media") -> DataFrame:
+    """media_rows, without the stream, with what its PCM blocks give: channels, bits, media_bytes, media_sha256, payload, feature."""
+    kept = [c for c in media_rows.columns if c != media]
+    (blocks,) = fresh(media_rows.select(*kept), "blocks")
+    return payload_column(pcm_column(media_rows, media), blocks)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import credentials, flac, langid, licenses, mixing, pieces, positions, quality, sharding, simhash
-from quern.llm.common import crc_mod, table
+from quern.llm.common import crc_mod, stored, table
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     media = flac.encode_column(docs, "body").select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), "media")
-    back, payload = flac.read_back(media), F.col("payload")
+    back, payload = flac.read_back(stored(media, "media")), F.col("payload")
     tail = F.crc32(F.substring(payload, -32, 32))
     return back.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 

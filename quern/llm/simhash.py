@@ -37,8 +37,10 @@ BITS = 64
 CELL = 2048
 #: keep_one: shingle width, and the bits in which candidates may differ, of the words' and of the shingles' fingerprint.
 WIDTH, WORD_BITS, SHINGLE_BITS = 5, 8, 20
-#: Chance meetings of a fingerprint that blocks_for allows, and shingles of a family that one cell compares.
-CHANCE, CELL_SHINGLES = 4.0, 1 << 20
+#: Chance meetings of a fingerprint that blocks_for allows.
+CHANCE = 4.0
+#: Sets and shingles of a part of a family; two parts meet in a cell.
+PART, PART_SHINGLES = 256, 1 << 19
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -365,14 +367,14 @@ def _star(members: DataFrame, width: int) -> DataFrame:
 def similar_links(members: DataFrame, width: int = WIDTH) -> DataFrame:
     """(a, b): verified links that connect what similarity connects within families; members are (family, sid, n, sfp, text).
 
-    A family is cut into parts of about CELL sets or CELL_SHINGLES shingles.  One of several parts is compared with
+    A family is cut into parts of about PART sets or PART_SHINGLES shingles.  One of several parts is compared with
     its centre first, which settles most of a group of copies of one text; what that leaves open then meets all
     parts, two in a cell.
     """
 
     def cut(rows: DataFrame) -> DataFrame:
         found = rows.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("held"))
-        return found.select("family", F.greatest(F.ceil(F.col("many") / CELL), F.ceil(F.col("held") / CELL_SHINGLES), F.lit(1)).cast("int").alias("parts"))
+        return found.select("family", F.greatest(F.ceil(F.col("many") / PART), F.ceil(F.col("held") / PART_SHINGLES), F.lit(1)).cast("int").alias("parts"))
 
     whole = cut(members)
     large = stored(split_join(members, whole.where("parts > 1"), "family").drop("parts"), "large")

@@ -106,6 +106,10 @@ def test_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, payload binary, feature string").withColumn("pcm", F.lit(1))
     media = flac.encode_column(docs, "payload")
     assert media.columns == [*docs.columns, "media"]
+    clash = flac.read_back(media.withColumn("Blocks", F.lit(2)).withColumn("bits", F.lit(3)))
+    assert clash.columns == [*docs.columns, "Blocks", "bits", "channels", "bits_", "media_bytes", "media_sha256", "payload_", "feature_"]
+    assert flac.read_back(media.select("doc_id", F.lit(None).cast("binary").alias("media"))).where("payload is null").count() == 5
+    assert flac.encode_column(docs.withColumn("media", F.lit(1)), "payload").columns[-1] == "media_"
     back = flac.read_back(media.select("doc_id", "media")).collect()
     assert sorted((str(r.doc_id), len(r.payload)) for r in back) == [("1", 576), ("2", 576), ("3", 576), ("3", 576), ("None", 360_000)]
     assert len({(r.media_sha256, r.feature, bytes(r.payload)) for r in back if r.doc_id == 3}) == 1
@@ -114,3 +118,14 @@ def test_columns(spark):
     joined = np.frombuffer(b"".join(bytes(r.pcm) for r in blocks), np.int8).astype(int) + 128
     assert joined.astype(np.uint8).tobytes()[: len(long)] == long
     assert flac.read_back(flac.encode_column(docs.limit(0), "payload").select("doc_id", "media")).count() == 0
+
+
+def test_the_encoder_writes_linear_predictors():
+    rng, x, wave = random.Random(8), [0.0, 0.0], bytearray()
+    for _ in range(576 * 6):
+        x.append(1.6 * x[-1] - 0.8 * x[-2] + rng.gauss(0, 6))
+        wave.append(max(0, min(255, 128 + int(x[-1]))))
+    stream = flac.encode([bytes(wave)])[0]
+    frames = flac.frames_of(stream, flac.info_of(stream))
+    assert [stream[f.body] >> 1 & 63 for f in frames].count(32 + flac.ORDER - 1) >= 4
+    assert (flac.decode([stream])[0][1][:, 0] + 128).astype(np.uint8).tobytes() == bytes(wave) and len(stream) < 0.85 * len(wave)

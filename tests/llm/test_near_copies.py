@@ -46,11 +46,11 @@ def planted():
     return texts + [f"{line} {' '.join(rng.choices(words, k=9))}" for _ in range(40)] + ["x " * 30_000]
 
 
-@pytest.mark.parametrize("cell", [2048, 3])
+@pytest.mark.parametrize("part", [256, 3])
 @pytest.mark.parametrize("real", [False, True])
-def test_groups_as_all_pairs(spark, monkeypatch, real, cell):
-    """What stays is what all pairs give, but for links that the fingerprints miss; small cells take the way of large families."""
-    monkeypatch.setattr(simhash, "CELL", cell)
+def test_groups_as_all_pairs(spark, monkeypatch, real, part):
+    """What stays is what all pairs give, but for links that the fingerprints miss; small parts take the way of large families."""
+    monkeypatch.setattr(simhash, "PART", part)
     rows = planted()
     if real:
         rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
