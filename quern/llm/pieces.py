@@ -5,12 +5,13 @@ can reach across: before a word's marks, and around characters that no piece has
 sorted, which lays out their trie in depth-first order: a word keeps the forward states of the prefix that it shares
 with the word before and only goes on from there.
 
-The forward state of a prefix is the last piece of its best segmentation.  For a unigram model the best is the
-greatest sum of piece scores, as in Viterbi's algorithm.  A BPE model's file orders merges instead, and the sum of
-its scores would give other pieces than the model's own; there the best segmentation of a prefix is the one that its
-merges give, and it ends in the longest piece t whose neighbour before, the state of the prefix without t, merges
-with it in no other way: the two pieces stay two when their text alone is merged.  Both need the shorter prefixes'
-states only, so both share them along the trie.  Characters without a piece fall back to bytes.
+The forward state of a prefix is the greatest score of its segmentations and the last piece of the best one.  For a
+unigram model a score is the sum of the pieces' scores, as in Viterbi's algorithm.  A BPE model's file orders merges
+instead, and the sum of its scores would give other pieces than the model's own; there every two neighbours score 0 if
+they stay two pieces when their text alone is merged, and -1 if they do not.  Exactly one segmentation of a prefix has
+the greatest possible score, 0: the one that its merges give.  So the search may end at the first last piece, from the
+longest on, that scores 0 behind the state of the prefix before it.  Both scores need the shorter prefixes' states
+only, so both share them along the trie.  Characters without a piece fall back to bytes.
 
 Decoding joins pieces, reads runs of byte pieces as UTF-8, and turns marks into spaces.  It restores every text
 without U+2581, the mark itself, exactly.
@@ -18,15 +19,18 @@ without U+2581, the mark itself, exactly.
 The model file is read by the driver, whose pieces (a bounded file) go to the executors; its path is a parameter.
 
 Defined cases: null texts give null; empty texts give no pieces; a word may be as long as a text; repeated rows stay
-repeated; other columns stay as they are; an empty table gives an empty result.
+repeated; other columns stay as they are, and where one has a new column's name, underscores are put behind the latter;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +41,7 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a model file that may be sent to the executors.
 MOST_MODEL = 64 << 20
-#: Words whose pieces a worker keeps from batch to batch, and pairs of pieces that it keeps verdicts of.
+#: Words whose pieces a worker keeps from batch to batch, and pairs of pieces that it keeps scores of.
 CACHE, PAIRS = 450_000, 500_000
 #: Bytes of texts that are cut into words at once; words take a multiple of it.
 BATCH = 2 << 20
@@ -65,12 +69,15 @@ class Pieces:
         #: Pieces that merges make at all.
         self.whole = {p for p in self.ids if not self.merges or len(p) == 1 or self.merged(p) == [p]}
         #: The pieces' own trie: a node maps a character to the next node, and "" to the piece that ends there.
-        self.trie: dict = {}
+        self.trie: list = [None, {}]  # the piece that ends at a node, and the next nodes by character
         for p in self.whole:
             node = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = p
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = p
+        size = 1 + max([*self.texts, *self.byte_ids, 0])
+        self.table = [self.texts.get(i, "") for i in range(size)]
+        self.is_byte = np.isin(np.arange(size), self.byte_ids) if self.byte_ids else np.zeros(size, bool)
         self.least = min(self.scores.values(), default=0.0) - 10
 
     def marked(self, text: str) -> str:
@@ -97,13 +104,14 @@ class Pieces:
         found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
 
-    def forward(self, words: list[str]) -> dict[str, list[int]]:
-        """The piece ids of each word."""
-        out: dict[str, list[int]] = {}
+    def forward(self, words: list[str]) -> dict[str, bytes]:
+        """The piece ids of each word, as 32-bit numbers."""
+        out: dict[str, bytes] = {}
         last: list[str] = [""]  # the last piece of each prefix of the word at hand
-        sums: list[float] = [0.0]
-        open_: list[list[tuple[int, dict]]] = [[]]  # where pieces begin that may go on after each prefix, longest first
-        before, trie, step = "", self.trie, self._merge_state if self.merges else self._best_state
+        sums: list[float] = [0.0]  # the score of each prefix; a BPE model's are all 0 and not kept
+        open_: list[list[tuple[int, list]]] = [[]]  # where pieces begin that may go on after each prefix, longest first
+        before, root, known, bytes_of = "", self.trie[1], self.ids, self.byte_ids
+        step = self._merge_state if self.merges else self._best_state
         for word in sorted(words):
             shared = 0
             for a, b in zip(word, before):
@@ -111,68 +119,88 @@ class Pieces:
                     break
                 shared += 1
             del last[shared + 1 :], sums[shared + 1 :], open_[shared + 1 :]
-            for i in range(shared, len(word)):
-                c = word[i]
-                now = [(start, child) for start, node in open_[i] if (child := node.get(c)) is not None]
-                if (child := trie.get(c)) is not None:
-                    now.append((i, child))
-                open_.append(now)
-                last.append(step(c, now, last, sums))
+            step(word, shared, last, sums, open_, root)
             before, at, ids = word, len(word), []
             while at:
                 piece = last[at]
-                found = self.ids.get(piece)
-                ids += [found] if found is not None else [self.byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))] if self.byte_ids else [self.unknown]
+                found = known.get(piece)
+                ids += [found] if found is not None else [bytes_of[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))] if bytes_of else [self.unknown]
                 at -= len(piece)
             ids.reverse()
-            out[word] = ids
+            out[word] = array("i", ids).tobytes()
         return out
 
-    def _merge_state(self, char: str, now: list[tuple[int, dict]], last: list[str], sums: list[float]) -> str:
-        pairs = self.pairs
-        for start, node in now:
-            piece = node.get("")
-            if piece is not None:
-                if not start:
-                    return piece
-                found = pairs.get((last[start], piece))
-                if found or (found is None and self.stays(last[start], piece)):
-                    return piece
-        return char
-
-    def _best_state(self, char: str, now: list[tuple[int, dict]], last: list[str], sums: list[float]) -> str:
-        best, piece = sums[-1] + self.least, char
-        for start, node in now:
-            one = node.get("")
-            if one is not None and sums[start] + self.scores[one] > best:
-                best, piece = sums[start] + self.scores[one], one
-        sums.append(best)
-        return piece
-
-    def encode(self, texts: list[str | None], cache: dict[str, list[int]]) -> list[list[int] | None]:
+    def _merge_state(self, word: str, shared: int, last: list[str], sums: list[float], open_: list, root: dict) -> None:
+        """Extend the states of a prefix to the whole word, by the scores of neighbours."""
+        pairs, stays = self.pairs, self.stays
+        for i in range(shared, len(word)):
+            char, now, state = word[i], [], None
+            for start, node in open_[i]:
+                child = node[1].get(char)
+                if child is not None:
+                    now.append((start, child))
+                    if state is None and (piece := child[0]) is not None:
+                        if not start:
+                            state = piece
+                        else:
+                            found = pairs.get((last[start], piece))
+                            if found or (found is None and stays(last[start], piece)):
+                                state = piece
+            child = root.get(char)
+            if child is not None:
+                now.append((i, child))
+            open_.append(now)
+            last.append(state or char)
+
+    def _best_state(self, word: str, shared: int, last: list[str], sums: list[float], open_: list, root: dict) -> None:
+        """Extend the states of a prefix to the whole word, by sums of scores."""
+        for i in range(shared, len(word)):
+            char = word[i]
+            now = [(start, child) for start, node in open_[i] if (child := node[1].get(char)) is not None]
+            if (child := root.get(char)) is not None:
+                now.append((i, child))
+            open_.append(now)
+            best, state = sums[-1] + self.least, char
+            for start, node in now:
+                one = node[0]
+                if one is not None and sums[start] + self.scores[one] > best:
+                    best, state = sums[start] + self.scores[one], one
+            sums.append(best)
+            last.append(state)
+
+    def encode_batch(self, texts: list[str | None], cache: dict[str, bytes]) -> list[bytes | None]:
+        """The piece ids of each text, as 32-bit numbers."""
         cut = [None if t is None else self.cut.findall(self.marked(t)) for t in texts]
-        new = {w for ws in cut if ws for w in ws if w not in cache}
+        new = {w for ws in cut if ws for w in ws}.difference(cache)
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = {w for ws in cut if ws for w in ws}
         cache.update(self.forward(list(new)))
-        return [None if ws is None else [i for w in ws for i in cache[w]] for ws in cut]
+        return [None if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in cut]
 
-    def decode(self, ids: list[int] | None) -> str | None:
+    def encode(self, texts: list[str | None], cache: dict[str, bytes] | None = None) -> list[list[int] | None]:
+        return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in self.encode_batch(texts, {} if cache is None else cache)]
+
+    def decode(self, ids: Sequence[int] | np.ndarray | None) -> str | None:
         if ids is None:
             return None
-        out, run = [], bytearray()
-        for i in ids:
-            if (b := self.bytes.get(i)) is not None:
-                run.append(b)
-                continue
+        ids = np.asarray(ids, np.int64)
+        there = ids[(ids >= 0) & (ids < len(self.table))]
+        if not self.is_byte[there].any():
+            text = "".join(map(self.table.__getitem__, there.tolist()))
+        else:
+            out, run = [], bytearray()
+            for i in there.tolist():
+                if (b := self.bytes.get(i)) is not None:
+                    run.append(b)
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                out.append(self.table[i])
             if run:
                 out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.texts.get(i, ""))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+            text = "".join(out)
         if self.dummy and text.startswith(MARK):
             text = text[1:]
         return text.replace(MARK, " ")
@@ -202,26 +230,32 @@ def load(path: str = DEFAULT_MODEL) -> Pieces:
     return Pieces(ids, scores, byte_ids if model.trainer_spec.byte_fallback else [], texts, unknown, model.trainer_spec.model_type == 2, rule.add_dummy_prefix)
 
 
+def _lists(found: list[bytes | None]) -> pa.Array:
+    """An Arrow array of lists of 32-bit numbers, null where there are none."""
+    ends = np.cumsum([0, *(0 if x is None else len(x) // 4 for x in found)])
+    values = pa.array(np.frombuffer(b"".join(x for x in found if x), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([x is None for x in found], pa.bool_()))
+
+
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", name: str = "ids") -> DataFrame:
     """docs with an array of piece ids."""
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    (body,) = fresh(docs, "body")
+    name, body = fresh(docs, name, "body")
     schema = docs.withColumn(name, F.lit(None).cast("array<int>")).schema
     width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
+        cache: dict[str, bytes] = {}
         for batch in slices(batches, body, BATCH):
-            found = sent.value.encode(batch.column(body).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], pa.array(found, pa.list_(pa.int32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], _lists(sent.value.encode_batch(batch.column(body).to_pylist(), cache))], names=schema.names)
 
     return docs.withColumn(body, F.col(text)).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """rows with the text of an array of piece ids."""
+    """rows with the text of an array of piece ids; numbers that are no piece's say nothing."""
     sent = rows.sparkSession.sparkContext.broadcast(pieces)
-    (given,) = fresh(rows, "given")
+    name, given = fresh(rows, name, "given")
     schema = rows.withColumn(name, F.lit(None).cast("string")).schema
     width = len(rows.columns)
 
@@ -229,6 +263,8 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", name: str = "decod
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(width)], pa.array([sent.value.decode(x) for x in part.column(width).to_pylist()], pa.string())], names=schema.names)
+                lists = (x.values if x.is_valid else None for x in part.column(width))
+                found = [None if x is None else sent.value.decode(x.drop_null().to_numpy(zero_copy_only=False)) for x in lists]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(width)], pa.array(found, pa.string())], names=schema.names)
 
     return rows.withColumn(given, F.col(ids)).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -29,7 +30,24 @@ def test_unigram_forward_scores_as_all_segmentations():
     words = ["▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(300)]
     got = model.forward(words)
     for word in words:
-        assert [model.texts[i] for i in got[word]] == best(word)[1]
+        assert [model.texts[i] for i in np.frombuffer(got[word], np.int32)] == best(word)[1]
+
+
+def test_merges_are_the_one_segmentation_of_greatest_score():
+    """Of all segmentations of short words, those without a pair that would merge otherwise: one, and the library's."""
+    model, library = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+
+    def every(word):
+        if not word:
+            yield []
+        for n in range(1, len(word) + 1):
+            if word[:n] in model.whole:
+                yield from ([word[:n], *rest] for rest in every(word[n:]))
+
+    for word in ("the", "tionings", "abcabc", "undernt", "xqzt", "eaning"):
+        marked = pieces.MARK + word
+        best = [x for x in every(marked) if all(model.stays(a, b) for a, b in zip(x, x[1:]))]
+        assert best == [library.encode(word, out_type=str)]
 
 
 def test_defined_cases(spark):
@@ -39,6 +57,8 @@ def test_defined_cases(spark):
     model = pieces.load()
     back = pieces.decode(pieces.encode(docs, model), model)
     assert back.columns == [*docs.columns, "ids", "decoded"]
+    clash = pieces.decode(pieces.encode(docs.withColumn("IDS", F.lit(1)).withColumn("decoded", F.lit(2)), model), model, "ids_")
+    assert clash.columns == [*docs.columns, "IDS", "decoded", "ids_", "decoded_"] and clash.where("text is not null and text <> decoded_").count() == 0
     got = back.collect()
     assert len(got) == 5 and all(r.text == r.decoded for r in got)
     assert {str(r.doc_id): r.ids for r in got}["1"] is None and {str(r.doc_id): r.ids for r in got}["2"] == []
