@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from math import log2
+from collections.abc import Callable
+from math import log2, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.ml import uniform
 from quern.sources.storage import stored
 
 
@@ -47,29 +49,61 @@ def spanning_forest(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return (chosen if chosen is not None else edges.limit(0)).select("a", "b", "w")
 
 
-def random_graph(spark: SparkSession, nodes: int, seed: int = 0, prune: bool = True) -> DataFrame:
-    """The complete graph on 0..nodes-1 with uniform weights from a hash; heavy edges are left out.
-
-    With prune, edges of weight over 4 log2(n) / n, which a minimum spanning tree practically never needs, are
-    dropped before they leave the task that makes them.
-    """
+def random_graph(spark: SparkSession, nodes: int, seed: int = 0, most: float = 1.0) -> DataFrame:
+    """The complete graph on 0..nodes-1 with uniform weights from a hash; edges heavier than `most` are not made."""
     every = spark.range(nodes * (nodes - 1) // 2)
     # the pair with number k: the larger node b has b (b - 1) / 2 pairs before its own
     b = F.floor((1 + F.sqrt(1 + 8.0 * F.col("id"))) / 2).cast("long")
     b = F.when(b * (b - 1) / 2 > F.col("id"), b - 1).when((b + 1) * b / 2 <= F.col("id"), b + 1).otherwise(b)
     pairs = every.withColumn("b", b).withColumn("a", (F.col("id") - F.col("b") * (F.col("b") - 1) / 2).cast("long"))
-    weight = F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    edges = pairs.select("a", "b", weight.alias("w"))
-    limit = 4 * log2(nodes) / nodes if prune and nodes >= 16 else 1.0
-    return edges.where(F.col("w") <= limit)
+    return pairs.select("a", "b", uniform(F.col("a"), F.col("b"), F.lit(seed)).alias("w")).where(F.col("w") <= most)
 
 
-def euclidean_graph(points: DataFrame, axes: list[str], cell: float) -> DataFrame:
-    """Edges between points (node, axes) in the same or neighbouring cells of a grid, weighted by distance.
+def tree_of(edges: Callable[[float], DataFrame], nodes: int, first: float, last: float) -> DataFrame:
+    """The minimum spanning tree of a graph whose edges up to a weight are given by edges(weight).
 
-    Every pair at most one cell's width apart is there, so a spanning tree whose longest edge is no longer than
-    that is exact.
+    If the edges up to some weight connect all nodes, their tree is the whole graph's, as no heavier edge can take
+    the place of a lighter one; so the limit is doubled until they do, or all edges are there.
     """
+    limit = first
+    while True:
+        found = stored(spanning_forest(edges(limit)), "tree")
+        if limit >= last or found.count() >= nodes - 1:
+            return found
+        limit = min(2 * limit, last)
+
+
+def random_tree(spark: SparkSession, nodes: int, seed: int = 0) -> DataFrame:
+    """The minimum spanning tree of random_graph(); heavy edges, which it hardly needs, are made only if it does."""
+    return tree_of(lambda most: random_graph(spark, nodes, seed, most), nodes, min(1.0, 4 * log2(max(nodes, 2)) / max(nodes, 2)), 1.0)
+
+
+def euclidean_tree(points: DataFrame, axes: list[str], cell: float) -> DataFrame:
+    """The minimum spanning tree of points (node, axes), by the pairs in neighbouring cells of a grid."""
+    spread = points.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    last = max(cell, 1.0001 * sqrt(sum(v * v for v in spread if v is not None)))
+    return tree_of(lambda most: euclidean_graph(points, axes, most), points.count(), cell, last)
+
+
+def linkage_clusters(points: DataFrame, axes: list[str], count: int, cell: float) -> DataFrame:
+    """(node, cluster): single-linkage clusters, which the tree without its count - 1 heaviest edges connects; named by the smallest node."""
+    tree = euclidean_tree(points, axes, cell)
+    heavy = tree.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(count - 1)
+    kept = stored(tree.join(heavy.select("a", "b"), ["a", "b"], "left_anti"), "kept")
+    labels = stored(points.select("node", F.col("node").alias("cluster")), "labels")
+    while True:  # the smallest label of a node and its neighbours, until nothing changes
+        both = kept.select(F.col("a").alias("node"), F.col("b").alias("to")).union(kept.select("b", "a"))
+        near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("cluster").alias("least"))
+        moved = labels.join(near, "node", "left").select("node", F.least("cluster", "least").alias("to"), "cluster")
+        jump = labels.select(F.col("node").alias("to"), F.col("cluster").alias("far"))
+        new = stored(moved.join(jump, "to").select("node", "far", "cluster"), "labels")
+        labels = new.select("node", F.col("far").alias("cluster"))
+        if new.where("far <> cluster").isEmpty():
+            return labels
+
+
+def euclidean_graph(points: DataFrame, axes: list[str], cell: float) -> DataFrame:
+    """Edges between points (node, axes) at most one cell's width apart, weighted by distance: pairs meet in neighbouring cells."""
     from itertools import product
 
     placed = points.select("node", *axes, *[F.floor(F.col(a) / cell).alias(f"c_{a}") for a in axes])
@@ -80,4 +114,4 @@ def euclidean_graph(points: DataFrame, axes: list[str], cell: float) -> DataFram
     whole = squares[0]
     for s in squares[1:]:
         whole = whole + s
-    return met.select("a", F.col("node").alias("b"), F.sqrt(whole).alias("w"))
+    return met.select("a", F.col("node").alias("b"), F.sqrt(whole).alias("w")).where(F.col("w") <= cell)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import QuernError
+from quern.sources.storage import stored
 
 #: Rows of a query set that may be sent to every task; larger ones are dealt in blocks of this size.
 QUERY_BLOCK = 20_000
@@ -69,15 +72,45 @@ def knn_classify(data: DataFrame, queries: DataFrame, axes: dict[str, tuple[str,
     return votes.groupBy(query).agg(F.min_by(label, F.struct(-F.col("share"), F.col(label))).alias("predicted"))
 
 
-def basis(x: Column, kind: str, size: int = 5) -> list[Column]:
-    """Columns of an expansion: 1 and powers, bumps around 1960 to 2010 in steps of 5 (thousands scaled), or cosines."""
-    if kind == "powers":
-        return [F.lit(1.0)] + [F.pow(x, F.lit(i)) for i in range(1, size + 1)]
-    if kind == "bumps":
-        return [F.lit(1.0)] + [F.exp(-(x - mu) * (x - mu) / 25) for mu in range(1960, 2011, 5)]
-    if kind == "cosines":
-        return [F.lit(1.0)] + [F.cos(x / i) for i in range(1, size + 1)]
-    raise QuernError(f"unknown basis {kind}")
+@dataclass(frozen=True)
+class Basis:
+    """A set of functions of x / scale beside 1: powers, bumps exp(-(x - centre)^2 / width), or cosines of x / j."""
+
+    kind: str
+    scale: float
+    degrees: tuple[int, ...]
+    offset: float = 0.0
+    step: float = 1.0
+    width: float = 1.0
+
+
+#: The four expansions of a size in thousands, and those of years and plain numbers.
+BASES = {
+    "a": Basis("powers", 181.0, tuple(range(1, 10))),
+    "b": Basis("bumps", 400.0, tuple(range(1, 10)), offset=7.0, step=8.0, width=5.0),
+    "c": Basis("cosines", 1.81, tuple(range(1, 10))),
+    "d": Basis("cosines", 0.181, tuple(range(1, 50))),
+    "powers": Basis("powers", 1.0, tuple(range(1, 6))),
+    "years": Basis("bumps", 1.0, tuple(range(0, 11)), offset=392.0, step=0.2, width=25.0),
+    "cosines": Basis("cosines", 1.0, tuple(range(1, 6))),
+}
+
+
+def basis(x: Column, named: str | Basis) -> list[Column]:
+    """Columns of an expansion; the centre of bump j is (j + offset) / step."""
+    if isinstance(named, str):
+        if named not in BASES:
+            raise QuernError(f"unknown basis {named}")
+        named = BASES[named]
+    v = x / named.scale
+    make = {
+        "powers": lambda j: F.pow(v, F.lit(j)),
+        "bumps": lambda j: F.exp(-(v - (j + named.offset) / named.step) * (v - (j + named.offset) / named.step) / named.width),
+        "cosines": lambda j: F.cos(v / j),
+    }
+    if named.kind not in make:
+        raise QuernError(f"unknown basis {named.kind}")
+    return [F.lit(1.0), *[make[named.kind](j) for j in named.degrees]]
 
 
 def gram(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
@@ -119,8 +152,8 @@ def logistic_regression(df: DataFrame, features: Sequence[Column], y: Column, ra
 
 
 def softmax_regression(df: DataFrame, features: Sequence[Column], label: Column, classes: Sequence, rate: float, rounds: int, l2: float) -> np.ndarray:
-    """[class, feature] weights of multinomial regression with an L2 penalty, by batch gradient descent on sums."""
-    w = np.zeros((len(classes), len(features)))
+    """[class, feature] weights of multinomial regression with an L2 penalty, by batch gradient descent on sums, from ones."""
+    w = np.ones((len(classes), len(features)))
     for _ in range(rounds):
         scores = [F.exp(linear(features, row)) for row in w]
         total = scores[0]
@@ -242,9 +275,108 @@ def policy_iteration(transitions: DataFrame, states: int, gamma: float) -> tuple
         policy = better
 
 
-def arrivals(spark, trials: int, rate: float, horizon: float, most: int, seed: int = 0) -> DataFrame:
-    """(mean, sd) of the number of Poisson arrivals before a horizon, by seeded simulation of gaps."""
-    gap: Callable[[int], Column] = lambda i: -F.log1p(-F.rand(seed * 10_007 + i)) / rate
-    runs = spark.range(trials).select(F.array(*[gap(i) for i in range(most)]).alias("gaps"))
-    counted = F.aggregate("gaps", F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("n")), lambda a, g: F.struct((a["t"] + g).alias("t"), (a["n"] + F.when(a["t"] + g <= horizon, 1).otherwise(0)).alias("n")), lambda a: a["n"])
-    return runs.select(counted.alias("n")).agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the MD5 of some values, the same in every engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
+def arrivals(spark, trials: int, rate: float, horizon: float, block: int = 40, seed: int = 0) -> DataFrame:
+    """(mean, sd) of the number of Poisson arrivals before a horizon, by seeded simulation of gaps.
+
+    Gaps are drawn in blocks; trials that a block leaves before the horizon go on with the next, until none is.
+    """
+    open_ = spark.range(trials).select("id", F.lit(0.0).alias("t"), F.lit(0).alias("n"))
+    done, first = None, 0
+    while True:
+        gaps = F.array(*[-F.log(uniform(F.col("id"), F.lit(first + i), F.lit(seed))) / rate for i in range(block)])
+        step = lambda a, g: F.struct((a["t"] + g).alias("t"), (a["n"] + F.when(a["t"] + g <= horizon, 1).otherwise(0)).alias("n"))
+        state = F.aggregate(gaps, F.struct(F.col("t"), F.col("n")), step)
+        ran = stored(open_.select("id", state.alias("s")).select("id", "s.t", "s.n"), "trials")
+        ended = ran.where(F.col("t") > horizon).select("n")
+        done = ended if done is None else done.union(ended)
+        open_, first = ran.where(F.col("t") <= horizon), first + block
+        if open_.isEmpty():
+            return done.agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+
+
+def clusters(df: DataFrame, axes: Sequence[str], start: Sequence[Sequence[float]], rounds: int) -> np.ndarray:
+    """[cluster, axis] centres of k-means by Lloyd's rounds from given centres; each round is one aggregation, empty clusters stay."""
+    centres = np.array(start, float)
+    for _ in range(rounds):
+        own = nearest_centre(axes, centres)
+        rows = df.groupBy(own.alias("c")).agg(*[F.avg(a).alias(f"m{i}") for i, a in enumerate(axes)]).collect()
+        for r in rows:
+            centres[r.c] = [r[f"m{i}"] for i in range(len(axes))]
+    return centres
+
+
+def nearest_centre(axes: Sequence[str], centres: np.ndarray) -> Column:
+    """The number of the nearest centre, the first of equals."""
+    best = F.least(*[F.struct(_squared([(F.col(a), F.lit(float(v)), 1.0) for a, v in zip(axes, c)]).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
+    return best["i"]
+
+
+def perceptron(df: DataFrame, features: Sequence[Column], label: Column, classes: int, hidden: int, rate: float, rounds: int, seed: int = 0) -> list[np.ndarray]:
+    """Weights of a network with one layer of rectified units and a softmax, by gradient descent on the mean cross-entropy.
+
+    Each round is one pass: tasks turn batches into sums of gradients, a row each, which Spark adds up.  Labels are
+    numbers from 0; the model is small by nature.  The last column of each layer's input is 1.
+    """
+    import pyarrow as pa
+
+    rng, width = np.random.default_rng(seed), len(features)
+    layers = [rng.normal(0, 1 / np.sqrt(width), (width + 1, hidden)), rng.normal(0, 1 / np.sqrt(hidden), (hidden + 1, classes))]
+    rows = df.select(*[f.cast("double").alias(f"f{i}") for i, f in enumerate(features)], label.cast("int").alias("y"))
+
+    def run(batches, layers):
+        total = [np.zeros_like(w) for w in layers]
+        n = 0
+        for batch in batches:
+            x = np.column_stack([*[batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)], np.ones(batch.num_rows)])
+            y = batch.column(width).to_numpy(zero_copy_only=False)
+            middle = np.column_stack([np.maximum(x @ layers[0], 0), np.ones(len(x))])
+            off = softmax(middle @ layers[1])
+            off[np.arange(len(y)), y] -= 1
+            back = (off @ layers[1][:-1].T) * (middle[:, :-1] > 0)
+            total = [total[0] + x.T @ back, total[1] + middle.T @ off]
+            n += len(y)
+        flat = np.r_[total[0].ravel(), total[1].ravel(), n]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
+
+    for _ in range(rounds):
+        flat = np.zeros(sum(w.size for w in layers) + 1)
+        for r in rows.mapInArrow(partial(run, layers=layers), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            flat[r.i] = r.v
+        cut = layers[0].size
+        grads = [flat[:cut].reshape(layers[0].shape), flat[cut:-1].reshape(layers[1].shape)]
+        layers = [w - rate * g / max(flat[-1], 1) for w, g in zip(layers, grads)]
+    return layers
+
+
+def softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def perceptron_class(features: Sequence[Column], layers: Sequence[np.ndarray]) -> Column:
+    """The number of the greatest output, the first of equals."""
+    middle = [F.greatest(linear([*features, F.lit(1.0)], column), F.lit(0.0)) for column in layers[0].T]
+    best = F.greatest(*[F.struct(linear([*middle, F.lit(1.0)], column).alias("s"), F.lit(-i).alias("i")) for i, column in enumerate(layers[1].T)])
+    return -best["i"]
+
+
+def q_values(transitions: DataFrame, states: int, actions: int, gamma: float, rate: float, rounds: int) -> np.ndarray:
+    """[state, action] values of Q-learning on recorded transitions (state, action, reward, to; no `to` ends a run).
+
+    Each round moves every pair by the mean of its transitions' errors, as one aggregation; pairs never seen stay 0.
+    """
+    q = np.zeros((states, actions))
+    rows = transitions.groupBy("state", "action", "to").agg(F.count("*").alias("n"), F.sum("reward").alias("r"))
+    rows = stored(rows, "moves")  # at most states x actions x states rows
+    for _ in range(rounds):
+        best = F.element_at(F.array(*[F.lit(float(v)) for v in q.max(axis=1)]), F.col("to") + 1)
+        target = F.col("r") + gamma * F.col("n") * F.coalesce(F.when(F.col("to").isNotNull(), best), F.lit(0.0))
+        for r in rows.groupBy("state", "action").agg((F.sum(target) / F.sum("n")).alias("v")).collect():
+            q[r.state, r.action] += rate * (r.v - q[r.state, r.action])
+    return q

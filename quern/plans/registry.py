@@ -14,6 +14,7 @@ from quern.operators.relation import Selection, Vector
 from quern.plans import batch
 from quern.plans.session import Session
 from quern.session import table
+from quern.sources import csvfile
 from quern.sources.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,6 +415,82 @@ def command_language(spark, sf_dir):
     return spark.createDataFrame([(line,) for line in out.splitlines()], "printed string")
 
 
+def _script(engine_: Engine | None, spark, lines: str, clock=None) -> DataFrame:
+    """What a script prints, line by line."""
+    s = Session(spark, **({"clock": clock} if clock else {}))
+    if engine_ is not None:
+        s.engine = engine_
+    return spark.createDataFrame([(i, line) for i, line in enumerate(s.run(lines).splitlines())], "line int, printed string")
+
+
+@query("""SELECT * FROM (VALUES (0, 'ERROR: unknown command'), (1, 'ERROR: incorrect number of arguments'), (2, 'ERROR: an argument is empty'), (3, 'ERROR: no handle nowhere'), (4, 'ERROR: invalid number format: 12x'),
+(5, 'ERROR: name is too long'), (6, 'ERROR: arguments stand in parentheses'), (7, 'ERROR: cannot create view'), (8, 'ERROR: only a join has two handles')) v(line, printed)
+UNION ALL SELECT 9, (SELECT CAST(count(*) AS VARCHAR) FROM nation WHERE n_regionkey >= 1 AND n_regionkey < 3) || ',' || (SELECT CAST(sum(n_nationkey) AS VARCHAR) FROM nation WHERE n_regionkey >= 1 AND n_regionkey < 3)""")
+def language_errors(spark, sf_dir):
+    """Errors are lines of their own, and what follows them runs: white space, quotes, comments, arity, numbers, names."""
+    name = "n" * 64
+    return _script(engine(spark, sf_dir, "nation"), spark, f"""
+frobnicate(a)
+s=select(db.nation.n_regionkey,1)
+s=select(db.nation.n_regionkey,,3)
+print(nowhere)
+s=select(db.nation.n_regionkey,12x,3)
+create(tbl,"{name}",db,2)
+print(s
+create(view,"v",db)
+a,b=sum(db.nation.n_nationkey)
+-- a comment alone
+ s = select ( "db.nation.n_regionkey" , 1 , 3 ) -- spaces, quotes and a comment
+f=fetch(db.nation.n_nationkey,s)
+a=sum(f)
+print(s,a)""")
+
+
+@query("SELECT 0 AS line, '1500.000000' AS printed")
+def language_time(spark, sf_dir):
+    """A moment, and what has passed since it; the clock here moves a second and a half between two looks."""
+    ticks = iter([10.0, 11.5])
+    return _script(engine(spark, sf_dir, "nation"), spark, "t=time()\na=sum(db.nation.n_nationkey)\nd=time(t)\nprint(d)", lambda: next(ticks))
+
+
+_SPANS = [(0, 5), (3, 9), (8, 30)]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS line, (SELECT count(*)::VARCHAR || ',' || coalesce(sum(l_suppkey), 0)::VARCHAR || ',' || coalesce(min(l_suppkey), 2147483647)::VARCHAR || ',' || coalesce(max(l_suppkey), -2147483647)::VARCHAR FROM lineitem WHERE l_partkey >= {a} AND l_partkey < {b}) AS printed" for i, (a, b) in enumerate(_SPANS)))
+def language_batch(spark, sf_dir):
+    """batch_queries() and batch_execute(): what stands between them runs together."""
+    lines = [f"s{i}=select(db.lineitem.l_partkey,{a},{b})\nf{i}=fetch(db.lineitem.l_suppkey,s{i})\na{i}=sum(f{i})\nm{i}=min(f{i})\nx{i}=max(f{i})" for i, (a, b) in enumerate(_SPANS)]
+    prints = [f"print(s{i},a{i},m{i},x{i})" for i in range(len(_SPANS))]
+    return _script(_lineitem(spark, sf_dir), spark, "\n".join(["batch_queries()", *lines, "batch_execute()", *prints]))
+
+
+def _written(spark, df: DataFrame, comment: str | None = None, **options) -> str:
+    """A folder of text files, each with a header or with comment lines in front."""
+    path = f"{shared_dir(spark)}/quern-text-{uuid.uuid4().hex}"
+    if comment is None:
+        df.write.options(**options).csv(path)
+    else:
+        line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in df.columns])
+        spark.createDataFrame([(comment,)], "line string").union(df.select(line)).coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
+def tsv_read(spark, sf_dir):
+    """Tab-separated text with a header, NA for null."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("c_mktsegment"), "c_acctbal")
+    path = _written(spark, df, sep="\t", header=True, nullValue="NA")
+    return csvfile.read_delimited(spark, path, df.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS p_size, p_retailprice FROM part")
+def comment_header_read(spark, sf_dir):
+    """Comma-separated text whose header is a comment line."""
+    df = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_size")).alias("p_size"), "p_retailprice")
+    path = _written(spark, df, "#partkey,size,price")
+    return csvfile.read_delimited(spark, path, df.schema.simpleString()[7:-1].replace(":", " "), sep=",", comment="#", header_line=False)
+
+
 # ---- tables
 
 
@@ -486,10 +563,38 @@ def mean_over_key(spark, sf_dir):
 WITH r AS (SELECT event_type, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS m FROM events WHERE event_type IN ('click', 'view')),
 n AS (SELECT count(*) FILTER (event_type = 'click') AS n1, count(*) FILTER (event_type = 'view') AS n2, sum(m) FILTER (event_type = 'click') AS r FROM r),
 t AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY value)),
-w AS (SELECT n1, n2, r - n1 * (n1 + 1) / 2.0::DOUBLE AS w, ties FROM n, t)
-SELECT n1, n2, w, round((w - n1 * n2 / 2.0::DOUBLE - sign(w - n1 * n2 / 2.0::DOUBLE) * 0.5::DOUBLE) / sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))), 6) AS z FROM w""")
+w AS (SELECT n1, n2, r - n1 * (n1 + 1) / 2.0::DOUBLE AS w, ties FROM n, t),
+z AS (SELECT n1, n2, w, (w - n1 * n2 / 2.0::DOUBLE - sign(w - n1 * n2 / 2.0::DOUBLE) * 0.5::DOUBLE) / sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z FROM w)
+SELECT n1, n2, w, round(z, 6) AS z, round(sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs(z) + i * 0.0025::DOUBLE, 2) / 2)) * 0.0025::DOUBLE / 3 * sqrt(2 / pi()), 8) AS p
+FROM z, range(4001) t(i) GROUP BY ALL""")
 def wilcoxon(spark, sf_dir):
-    return tabular.rank_sum(table(spark, sf_dir, "events"), "value", "event_type", "click", "view").withColumn("z", F.round("z", 6))
+    found = tabular.rank_sum(table(spark, sf_dir, "events"), "value", "event_type", "click", "view")
+    return found.withColumn("z", F.round("z", 6)).withColumn("p", F.round("p", 8))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, min(value) FILTER (inside) AS low, max(value) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outside FROM (SELECT event_type, value, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM events JOIN (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type) USING (event_type)) GROUP BY event_type")
+def box_plots(spark, sf_dir):
+    found = tabular.box_statistics(table(spark, sf_dir, "events"), "value", "event_type")
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "low", "high", "outside")
+
+
+@query('SELECT event_type, "at", round(avg(exp(-pow((value - "at") / 5, 2) / 2)) / (5 * sqrt(2 * pi())), 9) AS density FROM events, (SELECT CAST(unnest(range(0, 100, 10)) AS DOUBLE) AS "at") GROUP BY ALL')
+def densities(spark, sf_dir):
+    return tabular.density(table(spark, sf_dir, "events"), "value", range(0, 100, 10), 5.0, "event_type").withColumn("density", F.round("density", 9))
+
+
+@query("""
+SELECT "at", round((xx * y - x * xy) / (w * xx - x * x), 5) AS estimate FROM (
+  SELECT "at", sum(k) AS w, sum(k * d) AS x, sum(k * d * d) AS xx, sum(k * p_retailprice) AS y, sum(k * d * p_retailprice) AS xy FROM (
+    SELECT "at", p_size - "at" AS d, p_retailprice, CASE WHEN abs(p_size - "at") < 12 THEN pow(1 - pow(abs(p_size - "at") / 12.0::DOUBLE, 3), 3) ELSE 0 END AS k FROM part, (SELECT CAST(unnest(range(5, 50, 10)) AS DOUBLE) AS "at")) GROUP BY "at")""")
+def local_regression(spark, sf_dir):
+    return tabular.local_regression(table(spark, sf_dir, "part"), "p_size", "p_retailprice", range(5, 50, 10), 12.0).withColumn("estimate", F.round("estimate", 5))
+
+
+@query("SELECT l_suppkey, median(l_extendedprice) AS median FROM lineitem GROUP BY l_suppkey")
+def median_by_totals(spark, sf_dir):
+    """The way of groups with many different values."""
+    return tabular.medians_by_totals(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_suppkey")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS code FROM orders")
@@ -548,11 +653,13 @@ def least_squares(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(float(w[1])), 4).alias("slope"), F.round(F.lit(float(w[0])), 3).alias("intercept"))
 
 
-@query("SELECT p_partkey, p_size * 1.0::DOUBLE AS x1, round(pow(p_size, 2), 6) AS x2, round(exp(-(p_size + 1950 - 1985.0::DOUBLE) * (p_size + 1950 - 1985.0::DOUBLE) / 25), 9) AS bump, round(cos(p_size / 2.0::DOUBLE), 9) AS cosine FROM part")
+@query("SELECT p_partkey, round(pow(p_retailprice / 181.0::DOUBLE, 1), 9) AS a1, round(pow(p_size / 181.0::DOUBLE, 9), 15) AS a9, round(exp(-pow(p_size * 20 / 400.0::DOUBLE - (3 + 7) / 8.0::DOUBLE, 2) / 5), 9) AS b3, round(cos(p_size / 1.81::DOUBLE / 9), 9) AS c9, round(cos(p_size / 0.181::DOUBLE / 49), 9) AS d49, 60 AS functions FROM part")
 def basis_expansion(spark, sf_dir):
-    x = F.col("p_size").cast("double")
-    powers, bumps, cosines = ml.basis(x, "powers"), ml.basis(x + 1950, "bumps"), ml.basis(x, "cosines")
-    return table(spark, sf_dir, "part").select("p_partkey", powers[1].alias("x1"), F.round(powers[2], 6).alias("x2"), F.round(bumps[6], 9).alias("bump"), F.round(cosines[2], 9).alias("cosine"))
+    """The four named sets: their first or last functions, and how many there are beside the constant."""
+    x, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    a, b, c, d = ml.basis(x, "a"), ml.basis(x * 20, "b"), ml.basis(x, "c"), ml.basis(x, "d")
+    columns = {"a1": F.round(ml.basis(price, "a")[1], 9), "a9": F.round(a[9], 15), "b3": F.round(b[3], 9), "c9": F.round(c[9], 9), "d49": F.round(d[49], 9)}
+    return table(spark, sf_dir, "part").select("p_partkey", *[v.alias(k) for k, v in columns.items()], F.lit(len([a, b, c, d]) + len(b) + len(d) - 4).alias("functions"))
 
 
 @query("SELECT round(avg((p_retailprice - (900 + p_size)) * (p_retailprice - (900 + p_size))), 3) AS mse FROM part")
@@ -566,77 +673,224 @@ def gaussian_parameters(spark, sf_dir):
     return found.select("o_orderstatus", "n", "prior", F.round("mean_x", 2).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"), F.round(F.col("cov") / 1e6, 3).alias("cov"))
 
 
-@query()
+@query("""
+WITH g AS (SELECT o_orderstatus AS c, ln(count(*)::DOUBLE / (SELECT count(*) FROM orders)) AS prior, avg(o_totalprice) AS mx, avg(o_custkey) AS my, var_pop(o_totalprice) AS vx, var_pop(o_custkey) AS vy, covar_pop(o_totalprice, o_custkey) AS cov FROM orders GROUP BY c),
+d AS (SELECT c, prior, mx, my, vx, vy, cov, vx * vy - cov * cov AS det FROM g),
+s AS (SELECT o_orderkey, o_totalprice, o_custkey, o_orderstatus, c, prior - 0.5 * ln(det) - ((o_totalprice - mx) * (o_totalprice - mx) * vy - (o_totalprice - mx) * (o_custkey - my) * 2 * cov + (o_custkey - my) * (o_custkey - my) * vx) / det / 2 AS score FROM orders, d)
+SELECT o_orderkey, o_totalprice, o_custkey, o_orderstatus, arg_max(c, score) AS predicted FROM s GROUP BY ALL""")
 def gaussian_classify(spark, sf_dir):
     return ml.gaussian_classify(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus"), "o_totalprice", "o_custkey", "o_orderstatus", shared=False)
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT p_size / 50.0::DOUBLE AS x, CASE WHEN p_retailprice > 1400 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM part),
+w(r, w0, w1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT r + 1, any_value(w0) - avg(1 / (1 + exp(-(w0 + w1 * x))) - y), any_value(w1) - avg((1 / (1 + exp(-(w0 + w1 * x))) - y) * x) FROM w, d WHERE r < 20 GROUP BY r)
+SELECT round(w0, 8) AS w0, round(w1, 8) AS w1 FROM w WHERE r = 20""")
 def logistic_regression(spark, sf_dir):
     x, y = [F.lit(1.0), F.col("p_size") / 50], (F.col("p_retailprice") > 1400).cast("double")
     w = ml.logistic_regression(table(spark, sf_dir, "part"), x, y, 1.0, 20)
-    return spark.range(1).select(*[F.lit(float(v)).alias(f"w{i}") for i, v in enumerate(w)])
+    return spark.range(1).select(*[F.lit(round(float(v), 8)).alias(f"w{i}") for i, v in enumerate(w)])
 
 
-@query()
+def _softmax_sql(rate: float, rounds: int, l2: float) -> str:
+    scores = [f"a{i} + b{i} * x" for i in range(3)]
+    exps = ", ".join(f"exp({s}) AS e{i}" for i, s in enumerate(scores))
+    grads = ", ".join(f"any_value(a{i}) - {rate} * (sum(e{i} / (e0 + e1 + e2) - (c = {i})::INT) + {l2} * any_value(a{i})), any_value(b{i}) - {rate} * (sum((e{i} / (e0 + e1 + e2) - (c = {i})::INT) * x) + {l2} * any_value(b{i}))" for i in range(3))
+    return f"""
+WITH RECURSIVE d AS (SELECT o_orderkey, o_totalprice / 100000.0::DOUBLE AS x, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS c FROM orders),
+w(r, a0, b0, a1, b1, a2, b2) AS (SELECT 0, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT r + 1, {grads} FROM (SELECT w.*, x, c, {exps} FROM w, d WHERE r < {rounds}) GROUP BY r)
+SELECT o_orderkey, CASE WHEN a0 + b0 * x >= greatest(a1 + b1 * x, a2 + b2 * x) THEN 'F' WHEN a1 + b1 * x >= a2 + b2 * x THEN 'O' ELSE 'P' END AS predicted FROM d, w WHERE r = {rounds}"""
+
+
+@query(_softmax_sql(1e-4, 10, 0.001))
 def softmax_regression(spark, sf_dir):
     df, x, classes = table(spark, sf_dir, "orders"), [F.lit(1.0), F.col("o_totalprice") / 100_000], ["F", "O", "P"]
     w = ml.softmax_regression(df, x, F.col("o_orderstatus"), classes, 1e-4, 10, 0.001)
     return df.select("o_orderkey", ml.softmax_class(x, w, classes).alias("predicted"))
 
 
-@query()
-def gamma_mixture(spark, sf_dir):
-    theta, beta, _ = ml.gamma_mixture(table(spark, sf_dir, "events").where("value > 0"), "value", 2.0, [0.05, 0.2, 1.0], 10)
-    return spark.range(1).select(*[F.lit(float(v)).alias(f"theta{i}") for i, v in enumerate(theta)], *[F.lit(float(v)).alias(f"beta{i}") for i, v in enumerate(beta)])
+def _mixture_sql(rates: list[float], rounds: int) -> str:
+    n = range(len(rates))
+    parts = ", ".join(f"t{i} * b{i} * b{i} * value * exp(-b{i} * value) AS e{i}" for i in n)  # Gamma(2, b)
+    total = " + ".join(f"e{i}" for i in n)
+    step = ", ".join(f"sum(e{i} / ({total})) / count(*), 2 * sum(e{i} / ({total})) / sum(e{i} / ({total}) * value)" for i in n)
+    return f"""
+WITH RECURSIVE d AS (SELECT value FROM events WHERE value > 0),
+w(r, {", ".join(f"t{i}, b{i}" for i in n)}) AS (SELECT 0, {", ".join(f"1 / {len(rates)}.0::DOUBLE, {b}::DOUBLE" for b in rates)} UNION ALL
+  SELECT r + 1, {step} FROM (SELECT r, value, {parts} FROM w, d WHERE r < {rounds}) GROUP BY r)
+SELECT {", ".join(f"round(t{i}, 7) AS theta{i}, round(b{i}, 7) AS beta{i}" for i in n)} FROM w WHERE r = {rounds}"""
 
 
-@query()
+@query(_mixture_sql([0.05, 0.2, 1.0], 10))
+def gamma_mixture(spark, sf_dir):
+    theta, beta, _ = ml.gamma_mixture(table(spark, sf_dir, "events").where("value > 0"), "value", 2.0, [0.05, 0.2, 1.0], 10)
+    return spark.range(1).select(*[F.lit(round(float(v), 7)).alias(f"theta{i}") for i, v in enumerate(theta)], *[F.lit(round(float(v), 7)).alias(f"beta{i}") for i, v in enumerate(beta)])
+
+
+def _components_sql(rounds: int = 400) -> str:
+    """Eigenvalues by power iteration: of the covariances, then of what is left of them without the first component."""
+    names, n = ["a", "b", "c", "d"], range(4)
+    cell = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    cells = [(i, j) for i in n for j in range(i, 4)]
+    times = lambda i: " + ".join(f"{cell(i, j)} * v{j}" for j in n)
+    power = lambda name, source: f"""{name}(r, {", ".join(f"v{i}" for i in n)}) AS (SELECT 0, 0.9::DOUBLE, 0.7::DOUBLE, 0.5::DOUBLE, 0.3::DOUBLE UNION ALL
+  SELECT r + 1, {", ".join(f"u{i} / sqrt(u0 * u0 + u1 * u1 + u2 * u2 + u3 * u3)" for i in n)} FROM (SELECT r, {", ".join(f"{times(i)} AS u{i}" for i in n)} FROM {name}, {source}) WHERE r < {rounds}),
+{name}_value AS (SELECT {" + ".join(f"v{i} * ({times(i)})" for i in n)} AS l, {", ".join(f"v{i}" for i in n)} FROM {name}, {source} WHERE r = {rounds})"""
+    return f"""
+WITH RECURSIVE x AS (SELECT l_quantity / 50.0::DOUBLE AS a, l_extendedprice / 100000.0::DOUBLE AS b, l_discount * 10.0::DOUBLE AS c, l_tax * 10.0::DOUBLE AS d FROM lineitem),
+m AS (SELECT {", ".join(f"covar_pop({names[i]}, {names[j]}) AS {cell(i, j)}" for i, j in cells)} FROM x),
+{power("p", "m")},
+m2 AS (SELECT {", ".join(f"{cell(i, j)} - l * v{i} * v{j} AS {cell(i, j)}" for i, j in cells)} FROM m, p_value),
+{power("q", "m2")}
+SELECT round(m00 + m11 + m22 + m33 - p_value.l - q_value.l, 8) AS error, round(p_value.l / (m00 + m11 + m22 + m33), 8) AS share0, round((p_value.l + q_value.l) / (m00 + m11 + m22 + m33), 8) AS share1 FROM m, p_value, q_value"""
+
+
+@query(_components_sql())
 def principal_components(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
     columns = [F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000, F.col("l_discount") * 10, F.col("l_tax") * 10]
     mean, parts, shares = ml.principal_components(df, columns, 2)
     error = ml.reconstruction_error(df, columns, mean, parts)
-    return error.select(F.round("error", 8).alias("error"), *[F.lit(round(float(s), 8)).alias(f"share{i}") for i, s in enumerate(shares)])
+    return error.select(F.round("error", 8).alias("error"), *[F.lit(round(float(s), 8)).alias(f"share{i}") for i, s in enumerate(shares[:2])])
 
 
-@query()
+_MOVES = "(SELECT user_id % 6 AS state, length(event_type) % 3 AS action, event_id % 6 AS \"to\", value AS reward FROM events)"
+
+
+def _moves(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(6)).cast("int").alias("state"), F.pmod(F.length("event_type"), F.lit(3)).cast("int").alias("action"), F.pmod("event_id", F.lit(6)).cast("int").alias("to"), F.col("value").alias("reward"))
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT state, action, "to", count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY state, action) AS p, sum(reward) / sum(count(*)) OVER (PARTITION BY state, action) AS r FROM {_MOVES} GROUP BY state, action, "to"),
+v(k, state, value, action) AS (SELECT 0, state, 0.0::DOUBLE, 0::BIGINT FROM (SELECT unnest(range(6)) AS state) UNION ALL
+  SELECT k + 1, state, max(q), arg_max(action, q) FROM (SELECT k, t.state, t.action, sum(t.r + 0.9 * t.p * v.value) AS q FROM v JOIN t ON t."to" = v.state WHERE k < 400 GROUP BY k, t.state, t.action) GROUP BY k, state)
+SELECT CAST(state AS INTEGER) AS state, round(value, 6) AS value, CAST(action AS INTEGER) AS action FROM v WHERE k = 400""")
 def decision_process(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(6)).cast("int").alias("state"), F.pmod(F.length("event_type"), F.lit(3)).cast("int").alias("action"), F.pmod("event_id", F.lit(6)).cast("int").alias("to"), F.lit(1.0).alias("w"), F.col("value").alias("reward"))
+    """Policy iteration here, 400 rounds of value iteration in SQL."""
+    e = _moves(spark, sf_dir).withColumn("w", F.lit(1.0))
     total = e.groupBy("state", "action").agg(F.sum("w").alias("all"))
     moves = e.join(total, ["state", "action"]).select("state", "action", "to", (F.col("w") / F.col("all")).alias("p"), "reward")
     v, policy = ml.policy_iteration(moves, 6, 0.9)
     return spark.createDataFrame([(i, round(float(a), 6), int(b)) for i, (a, b) in enumerate(zip(v, policy))], "state int, value double, action int")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT state, action, "to", count(*) AS n, sum(reward) AS r FROM {_MOVES} GROUP BY ALL),
+q(k, state, action, v) AS (SELECT 0, state, action, 0.0::DOUBLE FROM (SELECT DISTINCT state, action FROM t) UNION ALL
+  SELECT k + 1, state, action, any_value(v) + 0.5 * (sum(r + 0.9 * n * best) / sum(n) - any_value(v)) FROM (
+    SELECT q.k, q.state, q.action, q.v, t.r, t.n, greatest(max(o.v), (SELECT CASE WHEN count(DISTINCT action) < 3 THEN 0.0 ELSE min(-1e300) END FROM t x WHERE x.state = t."to")) AS best
+    FROM q JOIN t ON q.state = t.state AND q.action = t.action JOIN q o ON o.state = t."to" WHERE q.k < 20 GROUP BY q.k, q.state, q.action, q.v, t."to", t.r, t.n) GROUP BY k, state, action)
+SELECT CAST(state AS INTEGER) AS state, CAST(action AS INTEGER) AS action, round(v, 6) AS value FROM q WHERE k = 20""")
+def q_learning(spark, sf_dir):
+    moves = _moves(spark, sf_dir)
+    seen = {(r.state, r.action) for r in moves.select("state", "action").distinct().collect()}
+    q = ml.q_values(moves, 6, 3, 0.9, 0.5, 20)
+    return spark.createDataFrame([(i, j, round(float(q[i, j]), 6)) for i, j in sorted(seen)], "state int, action int, value double")
+
+
+def _uniform_sql(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+@query(f"""
+WITH RECURSIVE a(id, i, t) AS (SELECT id, 0, -ln({_uniform_sql("id", "0", "0")}) / 2.0::DOUBLE FROM (SELECT unnest(range(2000)) AS id) UNION ALL
+  SELECT id, i + 1, t - ln({_uniform_sql("id", "i + 1", "0")}) / 2.0::DOUBLE FROM a WHERE t <= 3.0)
+SELECT avg(n) AS mean, round(stddev_samp(n), 9) AS sd FROM (SELECT id, count(*) FILTER (t <= 3.0) AS n FROM a GROUP BY id)""")
 def poisson_arrivals(spark, sf_dir):
-    return ml.arrivals(spark, 2000, 2.0, 3.0, 40)
+    return ml.arrivals(spark, 2000, 2.0, 3.0, block=8).withColumn("sd", F.round("sd", 9))
+
+
+_LLOYD = [(0.1, 0.5), (0.5, 0.7), (0.9, 0.9)]
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT p_size / 50.0::DOUBLE AS x, p_retailprice / 2000.0::DOUBLE AS y FROM part),
+k(r, {", ".join(f"x{i}, y{i}" for i in range(3))}) AS (SELECT 0, {", ".join(f"{x}::DOUBLE, {y}::DOUBLE" for x, y in _LLOYD)} UNION ALL
+  SELECT r + 1, {", ".join(f"coalesce(avg(x) FILTER (c = {i}), any_value(x{i})), coalesce(avg(y) FILTER (c = {i}), any_value(y{i}))" for i in range(3))} FROM (
+    SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS c FROM (
+      SELECT k.*, x, y, {", ".join(f"(x - x{i}) * (x - x{i}) + (y - y{i}) * (y - y{i}) AS d{i}" for i in range(3))} FROM k, d WHERE r < 6)) GROUP BY r)
+SELECT {", ".join(f"round(x{i}, 9) AS x{i}, round(y{i}, 9) AS y{i}" for i in range(3))} FROM k WHERE r = 6""")
+def kmeans(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select((F.col("p_size") / 50).alias("x"), (F.col("p_retailprice") / 2000).alias("y"))
+    centres = ml.clusters(df, ["x", "y"], _LLOYD, 6)
+    return spark.range(1).select(*[F.lit(round(float(v), 9)).alias(f"{a}{i}") for i, c in enumerate(centres) for a, v in zip("xy", c)])
+
+
+@query()
+def neural_network(spark, sf_dir):
+    """The share of rows that a small network tells right; its start is random, so SQL has no counterpart."""
+    df = table(spark, sf_dir, "part")
+    x, y = [F.col("p_size") / 50, F.col("p_retailprice") / 2000], (F.col("p_retailprice") > 1400).cast("int")
+    layers = ml.perceptron(df, x, y, 2, 8, 2.0, 60)
+    return df.agg(F.avg((ml.perceptron_class(x, layers) == y).cast("int")).alias("accuracy"))
 
 
 # ---- graphs, matrices, texts
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT least(l_suppkey, (l_partkey % 40)) AS a, greatest(l_suppkey, (l_partkey % 40)) AS b FROM lineitem WHERE l_suppkey <> l_partkey % 40),
+def _forest_sql(edges: str) -> str:
+    """Prim's algorithm from the smallest node of each component: each step takes the lightest edge out of what is reached."""
+    return f"""
+WITH RECURSIVE e AS ({edges}),
 n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
-r(node, to_) AS (SELECT node, node FROM n UNION SELECT r.node, CASE WHEN e.a = r.to_ THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.to_ OR e.b = r.to_)
-SELECT count(DISTINCT node) - count(DISTINCT root) AS edges FROM (SELECT node, min(to_) AS root FROM r GROUP BY node)""")
+reach(node, least) AS (SELECT node, node FROM n UNION SELECT r.node, CASE WHEN e.a = r.least THEN e.b ELSE e.a END FROM reach r JOIN e ON e.a = r.least OR e.b = r.least),
+roots AS (SELECT DISTINCT root FROM (SELECT node, min(least) AS root FROM reach GROUP BY node)),
+p(root, seen, k, w) AS (SELECT root, [root], 0, 0.0::DOUBLE FROM roots UNION ALL
+  SELECT root, list_append(seen, node), k + 1, w FROM (SELECT root, seen, k, e.w, CASE WHEN list_contains(seen, a) THEN b ELSE a END AS node, row_number() OVER (PARTITION BY root ORDER BY e.w, a, b) AS place
+    FROM p JOIN e ON list_contains(seen, a) <> list_contains(seen, b)) WHERE place = 1)
+SELECT count(*) FILTER (k > 0) AS edges, round(sum(w), 9) AS total FROM p"""
+
+
+def _weighed(forest: DataFrame) -> DataFrame:
+    return forest.agg(F.count("*").alias("edges"), F.round(F.coalesce(F.sum("w"), F.lit(0.0)), 9).alias("total"))
+
+
+@query(_forest_sql("SELECT least(l_suppkey, l_partkey % 40) AS a, greatest(l_suppkey, l_partkey % 40) AS b, CAST(min(l_quantity * 1000 + l_linenumber) AS DOUBLE) AS w FROM lineitem WHERE l_suppkey <> l_partkey % 40 GROUP BY 1, 2"))
 def forest_size(spark, sf_dir):
-    """A spanning forest has as many edges as nodes less components."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.pmod("l_partkey", F.lit(40)).alias("b"), (F.col("l_quantity") * 1000 + F.col("l_linenumber")).alias("w"))
-    return graphs.spanning_forest(rows).agg(F.count("*").alias("edges"))
+    """The edges of a minimum spanning forest and their weight."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.pmod("l_partkey", F.lit(40)).alias("b"), (F.col("l_quantity") * 1000 + F.col("l_linenumber")).cast("double").alias("w"))
+    return _weighed(graphs.spanning_forest(rows))
 
 
-@query()
+@query(_forest_sql(f"SELECT a, b, {_uniform_sql('a', 'b', '3')} AS w FROM (SELECT unnest(range(96)) AS a) JOIN (SELECT unnest(range(96)) AS b) ON a < b"))
 def random_graph_tree(spark, sf_dir):
-    return graphs.spanning_forest(graphs.random_graph(spark, 256, seed=3)).agg(F.count("*").alias("edges"), F.round(F.sum("w"), 9).alias("total"))
+    return _weighed(graphs.random_tree(spark, 96, seed=3))
 
 
-@query()
+def _points(spark, count: int, axes: int) -> DataFrame:
+    return spark.range(count).select(F.col("id").alias("node"), *[ml.uniform(F.col("id"), F.lit(axes), F.lit(i)).alias(f"x{i}") for i in range(axes)])
+
+
+def _points_sql(count: int, axes: int) -> str:
+    columns = ", ".join(f"{_uniform_sql('node', str(axes), str(i))} AS x{i}" for i in range(axes))
+    square = " + ".join(f"(p.x{i} - q.x{i}) * (p.x{i} - q.x{i})" for i in range(axes))
+    return f"SELECT p.node AS a, q.node AS b, sqrt({square}) AS w FROM (SELECT node, {columns} FROM (SELECT unnest(range({count})) AS node)) p JOIN (SELECT node, {columns} FROM (SELECT unnest(range({count})) AS node)) q ON p.node < q.node"
+
+
+@query(" UNION ALL ".join(f"SELECT {d} AS axes, * FROM ({_forest_sql(_points_sql(40, d))})" for d in (2, 3, 4)))
 def euclidean_tree(spark, sf_dir):
-    points = spark.range(300).select(F.col("id").alias("node"), *[(F.pmod(F.xxhash64("id", F.lit(a)), F.lit(1 << 30)) / float(1 << 30)).alias(a) for a in ("x", "y")])
-    return graphs.spanning_forest(graphs.euclidean_graph(points, ["x", "y"], 0.25)).agg(F.count("*").alias("edges"), F.round(F.sum("w"), 9).alias("total"))
+    """Exact trees of points in two, three and four dimensions."""
+    found = None
+    for d in (2, 3, 4):
+        tree = _weighed(graphs.euclidean_tree(_points(spark, 40, d), [f"x{i}" for i in range(d)], 3 / 40 ** (1 / d))).select(F.lit(d).alias("axes"), "edges", "total")
+        found = tree if found is None else found.union(tree)
+    return found
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_points_sql(60, 2)}),
+cut AS (SELECT max(w) AS far FROM (SELECT w FROM (
+  WITH RECURSIVE p(seen, k, w) AS (SELECT [0::BIGINT], 0, 0.0::DOUBLE UNION ALL
+    SELECT list_append(seen, node), k + 1, w FROM (SELECT seen, k, e.w, CASE WHEN list_contains(seen, a) THEN b ELSE a END AS node, row_number() OVER (ORDER BY e.w, a, b) AS place FROM p JOIN e ON list_contains(seen, a) <> list_contains(seen, b)) WHERE place = 1)
+  SELECT w FROM p WHERE k > 0) ORDER BY w LIMIT 55)),
+r(node, least) AS (SELECT unnest(range(60)), unnest(range(60)) UNION SELECT r.node, CASE WHEN a = least THEN b ELSE a END FROM r JOIN e ON (a = least OR b = least) AND w <= (SELECT far FROM cut))
+SELECT node, min(least) AS cluster FROM r GROUP BY node""")
+def linkage(spark, sf_dir):
+    """Five single-linkage clusters."""
+    return graphs.linkage_clusters(_points(spark, 60, 2), ["x0", "x1"], 5, 0.25)
 
 
 _A = "(SELECT l_linenumber AS i, CAST(l_suppkey AS INTEGER) AS j, CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY ALL)"

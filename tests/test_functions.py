@@ -1,5 +1,7 @@
 """Functions against numpy and plain Python."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +38,9 @@ def test_rank_sum_with_ties(spark):
     df = spark.createDataFrame([("a", float(v)) for v in a] + [("b", float(v)) for v in b] + [("a", float("nan")), ("b", None)], "g string, v double")
     r = tabular.rank_sum(df, "v", "g", "a", "b").first()
     w = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
-    assert (r.n1, r.n2, r.w) == (40, 55, pytest.approx(w)) and 0 < tabular.two_sided(r.z) < 1
+    assert (r.n1, r.n2, r.w) == (40, 55, pytest.approx(w)) and r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-9)
+    far = spark.range(1).select(*[tabular.two_sided(F.lit(z)).alias(f"p{i}") for i, z in enumerate((0.0, -1.96, 7.5, 20.0))]).first()
+    assert list(far) == pytest.approx([math.erfc(z / math.sqrt(2)) for z in (0.0, 1.96, 7.5, 20.0)], rel=1e-7)
 
 
 def test_regressions_and_classifiers(spark):
@@ -52,7 +56,7 @@ def test_regressions_and_classifiers(spark):
     for _ in range(15):
         w = w - 0.5 * full.T @ (1 / (1 + np.exp(-full @ w)) - label) / 300
     assert np.allclose(ml.logistic_regression(df, cols, F.col("y"), 0.5, 15), w)
-    s, hot = np.zeros((3, 3)), np.array([[k == c for c in "abc"] for k in kinds], float)
+    s, hot = np.ones((3, 3)), np.array([[k == c for c in "abc"] for k in kinds], float)
     for _ in range(10):
         e = np.exp(full @ s.T)
         s = s - 0.01 * ((e / e.sum(axis=1, keepdims=True) - hot).T @ full + 0.1 * s)
@@ -90,7 +94,8 @@ def test_mixture_components_and_decisions(spark):
     values, policy = ml.value_iteration(frame, 2, 0.9)
     exact, same = ml.policy_iteration(frame, 2, 0.9)
     assert np.allclose(values, exact, atol=1e-6) and list(policy) == list(same) == [0, 0]
-    found = ml.arrivals(spark, 4000, 2.0, 3.0, 40).first()
+    found = ml.arrivals(spark, 4000, 2.0, 3.0).first()
+    assert tuple(ml.arrivals(spark, 4000, 2.0, 3.0, block=3).first()) == pytest.approx(tuple(found))  # no gap is left out
     assert found["mean"] == pytest.approx(6, abs=0.3) and found.sd == pytest.approx(6**0.5, abs=0.3)
 
 
@@ -114,15 +119,51 @@ def test_spanning_forests(spark):
     edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(0, 9, 150)) if a != b] + [(100, 101, 2.0), (5, 5, 1.0)]
     got = graphs.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double")).collect()
     assert (len(got), sum(r.w for r in got)) == kruskal(edges[:-1])
-    whole = graphs.random_graph(spark, 80, seed=2, prune=False)
+    whole = graphs.random_graph(spark, 80, seed=2)
     rows = [tuple(r) for r in whole.collect()]
     assert len(rows) == len({r[:2] for r in rows}) == 80 * 79 // 2 and all(0 <= a < b < 80 for a, b, _ in rows)
-    tree = graphs.spanning_forest(graphs.random_graph(spark, 80, seed=2)).collect()
+    tree = graphs.random_tree(spark, 80, seed=2).collect()
     n, total = kruskal(rows)
     assert len(tree) == n == 79 and sum(r.w for r in tree) == pytest.approx(total)
     assert graphs.spanning_forest(whole.limit(0)).count() == 0
 
 
+def test_trees_that_the_first_edges_do_not_connect(spark):
+    """Far groups of points: short edges alone give several trees, so longer ones are made until one is left."""
+    points = [(i, 100.0 * (i % 2) + i / 50, float(i % 3)) for i in range(24)]
+    frame = spark.createDataFrame(points, "node long, x double, y double")
+    tree = graphs.euclidean_tree(frame, ["x", "y"], 0.5).collect()
+    pairs = [(a, b, math.dist(p, q)) for a, *p in points for b, *q in points if a < b]
+    assert (len(tree), pytest.approx(sum(r.w for r in tree))) == kruskal(pairs)
+    assert {r.cluster for r in graphs.linkage_clusters(frame, ["x", "y"], 2, 0.5).collect()} == {0, 1}
+
+
+def test_medians_of_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 9 == 0 else i % 4, float(rng.integers(0, 60)) if i % 13 else None) for i in range(700)] + [(7, None), (8, 2.5), (8, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    want = {str(r.g): r.m for r in tabular.medians(df, "v", "g", name="m").collect()}
+    monkeypatch.setattr(tabular, "FEW_VALUES", 1)
+    assert {str(r.g): r.m for r in tabular.medians(df, "v", "g", name="m").collect()} == want
+    kept = sorted(v for _, v in rows if v is not None and v == v)
+    assert tabular.medians(df, "v").first()[0] == np.median(kept) and tabular.medians(df.limit(0), "v", "g").count() == 0
+    assert [want["8"], want["7"]] == [2.5, None]
+
+
+def test_networks_clusters_and_q_values(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)  # no line tells them apart
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+    layers = ml.perceptron(df, [F.col("a"), F.col("b")], F.col("y"), 2, 12, 1.5, 70)
+    assert df.agg(F.avg((ml.perceptron_class([F.col("a"), F.col("b")], layers) == F.col("y")).cast("int"))).first()[0] > 0.93
+    centres = ml.clusters(df, ["a", "b"], [[-1, 0], [1, 0], [50, 50]], 3)
+    assert centres[2].tolist() == [50, 50] and centres[0][0] < 0 < centres[1][0]
+    moves = spark.createDataFrame([(0, 0, 1.0, 1), (0, 1, 0.0, 0), (1, 0, 5.0, None), (1, 0, 7.0, None)], "state int, action int, reward double, to int")
+    q = ml.q_values(moves, 2, 2, 0.5, 1.0, 30)
+    assert np.allclose(q, [[4.0, 2.0], [6.0, 0.0]])
+
+
 def test_matrices_and_texts(spark):
     rng = np.random.default_rng(5)
     a, b = rng.integers(-3, 4, (9, 7)), rng.integers(-3, 4, (7, 8))
