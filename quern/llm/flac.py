@@ -8,7 +8,7 @@ header's CRC-8 and the expected number, and confirmed by CRC-16.
 
 The encoder writes mono 8-bit streams of 576-sample frames: constant, fixed predictors of order 0 to 2, or a linear
 predictor of order 4 that is solved for the frame, with Rice partitions, or verbatim where that is smaller, a seek
-table, and the MD5.  The decoder takes mono and stereo streams of 4 to 24 bits with constant, verbatim, fixed and LPC
+table for streams of more than 16 frames, and the MD5.  The decoder takes mono and stereo streams of 4 to 24 bits with constant, verbatim, fixed and LPC
 subframes, wasted bits and escaped partitions.
 
 pcm_column() turns streams into PCM blocks with their sample offsets, from which payload_column() puts the payload
@@ -38,7 +38,7 @@ SEEK_FRAMES = 16
 SIDE = 8192
 ENCODE_SIDE = 256
 #: The encoder's linear predictors: order, bits of a coefficient, and their shift; what share of the residuals they must save.
-ORDER, PRECISION, SHIFT, SAVED = 4, 8, 6, 0.07
+ORDER, PRECISION, SHIFT, SAVED = 4, 6, 4, 0.05
 #: Samples of a PCM block.
 BLOCK = 65_536
 
@@ -134,8 +134,11 @@ def _subframes(samples: np.ndarray, parts: int = 8) -> list[bytes]:
     place = np.arange(length)
     warm = place < order[:, None]
     u[warm] = 0
-    mean = u.reshape(count, parts, -1).mean(axis=2)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.6931, 1))), 0, 8).astype(np.int32)
+    whole = u.reshape(count, parts, -1)
+    near = np.clip(np.floor(np.log2(np.maximum(whole.mean(axis=2) * 0.6931, 1))), 0, 8).astype(np.int32)
+    tried = np.clip(near + np.arange(-1, 3, dtype=np.int32)[:, None, None], 0, 8)
+    sizes = np.stack([(whole >> t[:, :, None]).sum(axis=2) for t in tried]) + (tried + 1) * whole.shape[2]
+    k = np.take_along_axis(tried, sizes.argmin(axis=0)[None], axis=0)[0]
     k = np.repeat(k, length // parts, axis=1)
     q = u >> k
     size = np.where(warm, 8, q + 1 + k)
@@ -220,7 +223,8 @@ def encode(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
         packed = rate << 44 | 0 << 41 | 7 << 36 | len(payload)
         info = FRAME.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
         seek = b"".join(points)
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(own))
+        kept = [b"\x00" + len(info).to_bytes(3, "big") + info, b"\x83" + len(seek).to_bytes(3, "big") + seek] if len(points) > 1 else [b"\x80" + len(info).to_bytes(3, "big") + info]
+        out.append(b"fLaC" + b"".join(kept) + b"".join(own))
         at += count
     return out
 
