@@ -157,7 +157,7 @@ class Engine:
         """One relation that holds both: the same one, or rows put together in position order."""
         if left[0] is right[0]:
             return left[0]
-        a, b = left[0].plain.count(), right[0].plain.count()
+        a, b = left[0].size, right[0].size
         if a != b:
             raise LengthMismatch(f"{a} and {b} rows")
         return Zipped(left[0], left[1], right[0], right[1])

@@ -43,6 +43,11 @@ class Relation:
     def placed(self) -> DataFrame:
         return self.frame(True)
 
+    @cached_property
+    def size(self) -> int:
+        """The number of rows, counted once; a relation is of fixed versions."""
+        return self.plain.count()
+
 
 class Base(Relation):
     def __init__(self, table: Table):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import zip_longest
 
 from pyspark.sql import SparkSession
 
@@ -34,38 +35,42 @@ class Session:
 
     def run(self, lines: str | Iterable[str]) -> str:
         """What the lines print; an error becomes a line of its own and the rest go on."""
-        out = []
+        return "".join(self.printed(lines))
+
+    def printed(self, lines: str | Iterable[str]) -> Iterator[str]:
+        """run() line by line: a vector's values come from the executors as they are asked for."""
         for line in lines.splitlines() if isinstance(lines, str) else lines:
             try:
-                text = self.execute(line)
+                yield from self._execute(line)
             except QuernError as e:
-                text = f"ERROR: {e}\n"
-            if text:
-                out.append(text)
-        return "".join(out)
+                yield f"ERROR: {e}\n"
 
     def execute(self, line: str) -> str:
+        """What a line prints; errors are raised."""
+        return "".join(self._execute(line))
+
+    def _execute(self, line: str) -> Iterable[str]:
         command = parse(line)
         if command is None or self.closed:
-            return ""
+            return ()
         if self.queued is not None:
             if command.name == "batch_execute":
                 return self._run_batch()
             if command.name not in BATCHED:
                 raise BatchError(f"a batch does not take {command.name}")
             self.queued.append(command)
-            return ""
+            return ()
         if command.name == "batch_execute":
             raise BatchError("no batch was begun")
-        return getattr(self, f"_do_{command.name}")(command) or ""
+        return getattr(self, f"_do_{command.name}")(command) or ()
 
-    def _run_batch(self) -> str:
+    def _run_batch(self) -> Iterable[str]:
         commands, self.queued = self.queued, None
         for command in commands:
             getattr(self, f"_do_{command.name}")(command)
         names = {h for c in commands for h in c.handles}
         batch.evaluate([v for n in sorted(names) if isinstance(v := self.handles.get(n), Scalar)])
-        return ""
+        return ()
 
     def _do_batch_queries(self, c: Command) -> None:
         self.queued = []
@@ -147,9 +152,9 @@ class Session:
         now = self.clock()
         self._bind(c, Moment(now - self._get(c.args[0], Moment).seconds) if c.args else Moment(now))
 
-    def _do_info(self, c: Command) -> str:
-        rows = self.engine.info().collect()
-        return "".join(f"{r.table_name}.{r.column_name} {r.type} {r.rows} {r['index']}".rstrip() + "\n" for r in rows)
+    def _do_info(self, c: Command) -> Iterator[str]:
+        rows = self.engine.info().collect()  # a row for each column of a table
+        return (f"{r.table_name}.{r.column_name} {r.type} {r.rows} {r['index']}".rstrip() + "\n" for r in rows)
 
     def _do_shutdown(self, c: Command) -> None:
         if self.engine.path and self.engine.db:
@@ -158,15 +163,12 @@ class Session:
 
     # ---- printing
 
-    def _do_print(self, c: Command) -> str:
+    def _do_print(self, c: Command) -> Iterator[str]:
         values = [self._get(a) if "." not in a else self.engine.whole(a) for a in c.args]
         counts = {i: self.engine.count(v) for i, v in enumerate(values) if isinstance(v, Selection)}
         batch.evaluate([*counts.values(), *(v for v in values if isinstance(v, Scalar))])
-        if any(isinstance(v, Vector) for v in values):
-            columns = [[show(r.v) for r in v.ordered().select("v").toLocalIterator()] if isinstance(v, Vector) else [self._show(v, counts.get(i))] for i, v in enumerate(values)]
-            longest = max(map(len, columns))
-            return "".join(",".join(col[i] for col in columns if i < len(col)) + "\n" for i in range(longest))
-        return ",".join(self._show(v, counts.get(i)) for i, v in enumerate(values)) + "\n"
+        columns = [map(show, (r.v for r in v.ordered().select("v").toLocalIterator())) if isinstance(v, Vector) else iter([self._show(v, counts.get(i))]) for i, v in enumerate(values)]
+        return (",".join(cell for cell in row if cell is not None) + "\n" for row in zip_longest(*columns))
 
     @staticmethod
     def _show(value, count: Scalar | None) -> str:
