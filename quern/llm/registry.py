@@ -77,4 +77,4 @@ QUERIES = {
         op6_simhash_dedup, op7_language_id, op8_quality, op9_secret_scan, op10_media_columns,
     )
 }
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op4_decontamination": positions.oracle(), "op9_secret_scan": credentials.oracle()}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op3_license_scan": licenses.oracle(), "op4_decontamination": positions.oracle(), "op9_secret_scan": credentials.oracle()}

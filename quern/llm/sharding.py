@@ -6,12 +6,13 @@ partition: running sums within it, put on top of the sums of the ranges before i
 place, and a shard takes an equal share of the bytes.  So each shard is an interval of the key order whose size
 differs from the mean by less than one row's size, whatever the sample.
 
-The key order is (key, text hash, row number as stored): rows that repeat a key, or a whole row, are still told
-apart, so no range is bound to one key.  Only the sample, a row for each range and a row for each shard are
+The key order is (key, CRC-32 and size of the text, row number as stored): rows that repeat a key, or a whole row, are
+still told apart, so no range is bound to one key, and what a row gets follows from the rows alone.  Only the sample, a row for each range and a row for each shard are
 gathered, all of them bounded by the parameters.
 
 Defined cases: a null text has the size of the overhead alone, a null key sorts first, repeated rows are rows of
-their own, other columns are not looked at, an empty table gives an empty result.
+their own and those that are equal change places freely, a very long text is one row, other columns are not looked at
+and may have any name, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,23 +70,23 @@ def _quantiles(sample: list, pieces: int) -> list:
 def splitters_of(slim: DataFrame, total: int, ranges: int, samples: int, rounds: int = 6) -> tuple[list, DataFrame]:
     """Sorted splitters of `slim` (k, size), and the measured ranges (r, bytes, n) that they make.
 
-    A range over twice its share is sampled again and subdivided, up to `rounds` times.
+    A range over twice its share is sampled anew and subdivided, up to `rounds` times.
     """
     dtype = slim.schema["k"].dataType
-    unit = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    unit = lambda number: F.pmod(F.xxhash64("k", F.lit(f"sample {number}")), F.lit(1 << 30)) / float(1 << 30)
 
     def drawn(rows: DataFrame, rate: Column) -> list:
         """Keys by size: a row is drawn with the chance rate * size, and counts for what it stands for."""
         chance = F.col("size") * rate
-        got = rows.where(unit < chance).select("k", F.greatest(F.col("size").cast("double"), 1 / rate).alias("w"))
+        got = rows.where(unit(0) < chance).select("k", F.greatest(F.col("size").cast("double"), 1 / rate).alias("w"))
         return [(r.k, r.w) for r in got.sort("k").collect()]
 
     found = _quantiles(drawn(slim, F.lit(samples * ranges / total)), ranges)
     share = 2 * ceil(total / ranges)
-    for last in (*[False] * rounds, True):
+    for number in range(1, rounds + 2):
         marked = slim.withColumn("r", _range_of(F.col("k"), found, dtype))
         measured = marked.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-        over = [] if last else measured.where((F.col("bytes") > share) & (F.col("n") > 1)).limit(2 * ranges).collect()
+        over = [] if number > rounds else measured.where((F.col("bytes") > share) & (F.col("n") > 1)).limit(2 * ranges).collect()
         if not over:
             return found, measured
         rate = F.lit(0.0)
@@ -94,16 +95,13 @@ def splitters_of(slim: DataFrame, total: int, ranges: int, samples: int, rounds:
         rows = marked.where(F.col("r").isin([row.r for row in over]))
         again: dict[int, list] = {}
         chance = F.col("size") * rate
-        got = rows.where(unit < chance).select("k", "r", F.greatest(F.col("size").cast("double"), 1 / rate).alias("w")).sort("k").collect()
+        got = rows.where(unit(number) < chance).select("k", "r", F.greatest(F.col("size").cast("double"), 1 / rate).alias("w")).sort("k").collect()
         for row in got:
             again.setdefault(row.r, []).append((row.k, row.w))
         pieces = {row.r: 2 * ceil(row.bytes / share) for row in over}
         new = [k for r, sample in again.items() for k in _quantiles(sample, pieces[r])]
         order = lambda k: tuple((v is not None, v) for v in k)
-        merged = sorted({tuple(k): k for k in [*found, *new]}.values(), key=order)
-        if len(merged) == len(found):
-            return found, measured
-        found = merged
+        found = sorted({tuple(k): k for k in [*found, *new]}.values(), key=order)
     return found, measured
 
 
@@ -113,10 +111,11 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     slot numbers a shard's rows from 0 without gaps, in key order.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    size = (F.octet_length(body) + overhead).cast("long")
     slim = stored(
         docs.select(
-            F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("tie")).alias("k"),
-            (F.octet_length(body) + overhead).cast("long").alias("size"),
+            F.struct(F.col(key).alias("key"), F.crc32(body).alias("h"), size.alias("size"), F.monotonically_increasing_id().alias("tie")).alias("k"),
+            size.alias("size"),
             F.crc32(body).alias("text_crc32"),
         ),
         "sizes",
@@ -141,3 +140,18 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     forget(slim)
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(key, "size", "text_crc32", "shard", (F.col("row") - F.col("first")).cast("long").alias("slot"))
+
+
+def oracle(shards: int = 40, overhead: int = 16) -> str:
+    """DuckDB SQL of the query: running sums over all rows at once, and CRC-32 by its table."""
+    return f"""
+WITH RECURSIVE t(i, k, v) AS (SELECT CAST(unnest(range(256)) AS BIGINT), 0, CAST(unnest(range(256)) AS BIGINT)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS v FROM t WHERE k = 8),
+d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + {overhead} AS BIGINT) AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, b: xor(a >> 8, tab.v[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
+r AS (SELECT *, 2 * sum(size) OVER (w ROWS UNBOUNDED PRECEDING) - size AS middle, sum(size) OVER () AS total, row_number() OVER w AS place FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+s AS (SELECT *, CAST(least({shards - 1}, floor(middle * {shards} / (2.0::DOUBLE * total))) AS INTEGER) AS shard FROM r)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""

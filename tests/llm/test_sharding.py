@@ -39,6 +39,6 @@ def test_hot_key_and_defined_cases(spark):
 
 
 def test_overfull_ranges_are_cut_again(spark):
-    slim = spark.range(3000).select(F.struct(F.lit(1).alias("key"), F.xxhash64("id").alias("h"), F.col("id").alias("tie")).alias("k"), F.lit(20).cast("long").alias("size"))
+    slim = spark.range(3000).select(F.struct(F.lit(1).alias("key"), F.xxhash64("id").alias("h"), F.lit(20).cast("long").alias("size"), F.col("id").alias("tie")).alias("k"), F.lit(20).cast("long").alias("size"))
     _, measured = sharding.splitters_of(slim, 60_000, 30, 1)
     assert max(r["bytes"] for r in measured.collect()) <= 2 * 2000
