@@ -198,3 +198,34 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
     prediction, score = fresh(docs, "lang_pred", "lang_score")
     found = identify(docs, model, text, prediction, score)
     return found.where((F.col(prediction) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
+
+
+def oracle(modulus: int = 4, rest: int = 2) -> str:
+    """DuckDB SQL of the query where the sample is all labelled training rows, which the bounds of fit() decide."""
+    words = "regexp_extract_all(lower(coalesce(text, '')), '\\p{L}[\\p{L}\\p{M}]*')"
+    cut = lambda source, keep: f"SELECT {keep}, k, substr(m, i, k) AS g FROM (SELECT {keep}, k, m, unnest(range(1, length(m) - k + 2)) AS i FROM (SELECT {keep}, k, CASE WHEN k > 1 THEN '^' || w || '$' ELSE w END AS m FROM {source}, (SELECT unnest(range(1, {LONGEST + 1})) AS k)) WHERE length(m) >= k)"
+    score = lambda n, total, size: f"ln((coalesce({n}, 0) + {SMOOTH}::DOUBLE) / (coalesce({total}, 0) + {SMOOTH}::DOUBLE * {size}))"
+    return f"""
+WITH RECURSIVE t(i, k, v) AS (SELECT CAST(unnest(range(256)) AS BIGINT), 0, CAST(unnest(range(256)) AS BIGINT)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS v FROM t WHERE k = 8),
+b AS (SELECT row_number() OVER () AS rid, *, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+d AS MATERIALIZED (SELECT rid, doc_id, lang, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, b: xor(a >> 8, tab.v[(xor(a, b) & 255) + 1])), 4294967295) % {modulus} = {rest} AS held_out FROM b, tab),
+w AS MATERIALIZED (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest({words}) AS w FROM d) GROUP BY rid, w),
+tw AS MATERIALIZED (SELECT lang, w, CAST(sum(n) AS BIGINT) AS n FROM w JOIN d USING (rid) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, w),
+tg AS MATERIALIZED (SELECT lang, k, g, CAST(sum(n) AS BIGINT) AS n FROM ({cut("tw", "lang, n")}) GROUP BY ALL),
+l AS (SELECT DISTINCT lang FROM tw),
+v AS MATERIALIZED (SELECT DISTINCT w FROM tw),
+wt AS (SELECT lang, sum(n) AS total FROM tw GROUP BY lang), gt AS (SELECT lang, k, sum(n) AS total FROM tg GROUP BY lang, k),
+size AS (SELECT (SELECT count(*) FROM v) AS words, (SELECT count(*) FROM (SELECT DISTINCT g FROM tg)) AS parts),
+sw AS MATERIALIZED (SELECT v.w, l.lang, {score("tw.n", "wt.total", "size.words")} AS s FROM v CROSS JOIN l CROSS JOIN size LEFT JOIN tw ON tw.w = v.w AND tw.lang = l.lang LEFT JOIN wt ON wt.lang = l.lang),
+sg AS MATERIALIZED (SELECT p.k, p.g, l.lang, {score("tg.n", "gt.total", "size.parts")} AS s FROM (SELECT DISTINCT k, g FROM tg) p CROSS JOIN l CROSS JOIN size LEFT JOIN tg ON tg.g = p.g AND tg.k = p.k AND tg.lang = l.lang LEFT JOIN gt ON gt.lang = l.lang AND gt.k = p.k),
+u AS (SELECT DISTINCT w FROM w WHERE w NOT IN (SELECT w FROM v)),
+ug AS (SELECT x.w, x.k, x.g FROM ({cut("u", "w")}) x WHERE EXISTS (SELECT 1 FROM tg WHERE tg.g = x.g AND tg.k = x.k)),
+su AS (SELECT w, lang, avg(s) AS s FROM (SELECT w, k, g FROM ug QUALIFY k = max(k) OVER (PARTITION BY w)) JOIN sg USING (k, g) GROUP BY w, lang),
+e AS (SELECT rid, lang, sum(n * s) AS s FROM w JOIN (SELECT * FROM sw UNION ALL SELECT * FROM su) USING (w) GROUP BY rid, lang),
+c AS (SELECT rid, least(1, 12 / sum(n)) AS heat FROM w GROUP BY rid),
+a AS (SELECT rid, lang, coalesce(s, 0) AS s, heat FROM c CROSS JOIN l LEFT JOIN e USING (rid, lang)),
+p AS (SELECT rid, arg_min(lang, {{'s': -s, 'l': lang}}) AS lang_pred, 1 / sum(exp((s - best) * heat)) AS score FROM (SELECT *, max(s) OVER (PARTITION BY rid) AS best FROM a) GROUP BY rid)
+SELECT doc_id, held_out, coalesce(lang_pred, '{UNDETERMINED}') AS lang_pred, round(coalesce(score, 0.0), 6) AS score FROM d LEFT JOIN p USING (rid)
+"""

@@ -29,7 +29,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4)
     model = langid.fit(docs, train=fold != 2)
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ QUERIES = {
         op6_simhash_dedup, op7_language_id, op8_quality, op9_secret_scan, op10_media_columns,
     )
 }
-ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op3_license_scan": licenses.oracle(), "op4_decontamination": positions.oracle(), "op9_secret_scan": credentials.oracle()}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op3_license_scan": licenses.oracle(), "op4_decontamination": positions.oracle(), "op7_language_id": langid.oracle(), "op9_secret_scan": credentials.oracle()}
