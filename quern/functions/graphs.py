@@ -12,13 +12,38 @@ from quern.functions.ml import uniform
 from quern.sources.storage import stored
 
 
-def spanning_forest(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """The edges (a, b, w) of a minimum spanning forest, by rounds of lightest outgoing edges.
+#: Edges up to which a forest is found by the driver, in one go; a checked bound.
+FEW_EDGES = 50_000
+
+
+def _small_forest(rows: list) -> list:
+    """The edges of a minimum spanning forest, lightest first; nodes point to ones nearer to their component's name."""
+    name: dict = {}
+    picked = []
+    for row in sorted(rows, key=lambda r: (r.w, r.a, r.b)):
+        ends = []
+        for node in (row.a, row.b):
+            path = []
+            while (up := name.get(node, node)) != node:
+                path.append(node)
+                node = up
+            name.update(dict.fromkeys(path, node))
+            ends.append(node)
+        if ends[0] != ends[1]:
+            name[max(ends)] = min(ends)
+            picked.append(row)
+    return picked
+
+
+def spanning_forest(edges: DataFrame, most_rounds: int = 40, few: int | None = None) -> DataFrame:
+    """The edges (a, b, w) of a minimum spanning forest, by rounds of lightest outgoing edges; one without a weight is none.
 
     Each round every component takes its lightest edge to another; ties go to the smaller edge, so no circles
     arise.  Components are then merged by pointer jumping.  Rounds follow the logarithm of the number of nodes.
     """
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
+    edges = stored(edges.where("a <> b and w is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
+    if edges.count() <= (FEW_EDGES if few is None else few):
+        return edges.sparkSession.createDataFrame(_small_forest(edges.collect()), edges.schema)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = stored(nodes.withColumn("root", F.col("node")), "labels")
     chosen = None

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quern.errors import QuernError
 from quern.sources.storage import stored
@@ -24,33 +27,79 @@ def _squared(pairs: Sequence[tuple[Column, Column, float]]) -> Column:
     return whole
 
 
-def _against(queries: DataFrame, data: DataFrame) -> DataFrame:
-    """Every query beside every row: queries are sent whole, or by blocks if they are many."""
+def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """The queries in tables of at most about QUERY_BLOCK rows, one after the other."""
     n = queries.count()
-    if n <= QUERY_BLOCK:
-        return data.join(F.broadcast(queries))
-    blocks = -(-n // QUERY_BLOCK)
-    marked = queries.withColumn("__block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
-    out = None
+    blocks = max(1, -(-n // QUERY_BLOCK))
     for i in range(blocks):
-        part = data.join(F.broadcast(marked.where(F.col("__block") == i).drop("__block")))
-        out = part if out is None else out.unionByName(part)
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)) == i)
+        yield part.toArrow()
+
+
+def _passes(data: DataFrame, queries: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """run(batches, block) over the data for each block of queries; beyond one, a block's rows are stored before the next is sent."""
+    out = None
+    for block in _blocks(queries):
+        found = data.mapInArrow(partial(run, block=block), schema)
+        if out is None:
+            out = found
+            continue
+        out = out.union(stored(found, "block"))
     return out
 
 
 def kernel_regression(data: DataFrame, queries: DataFrame, x: str, y: str, at: str, tau: float) -> DataFrame:
-    """(at, estimate): means of y weighted by exp(-(distance squared) / tau)."""
-    pairs = _against(queries.select(at), data.select(x, y))
-    weight = F.exp(-(F.col(x) - F.col(at)) * (F.col(x) - F.col(at)) / tau)
-    return pairs.groupBy(at).agg((F.sum(weight * F.col(y)) / F.sum(weight)).alias("estimate"))
+    """(at, estimate): means of y weighted by exp(-(distance squared) / tau); tasks send two sums for each query."""
+
+    def run(batches, block):
+        places = block.column("at").to_numpy(zero_copy_only=False)
+        total = np.zeros((2, len(places)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                u, v = (batch.column(i).slice(start, 1024).to_numpy(zero_copy_only=False) for i in range(2))
+                weight = np.exp(-((u - places[:, None]) ** 2) / tau)
+                total += weight @ v, weight.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(total[0]), pa.array(total[1])], names=["at", "top", "low"])
+
+    rows = data.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double"), F.col(y).cast("double"))
+    wanted = queries.select(F.col(at).cast("double").alias("at")).where("at is not null").distinct()
+    sums = _passes(rows, wanted, run, "at double, top double, low double")
+    return sums.groupBy(F.col("at").alias(at)).agg((F.sum("top") / F.sum("low")).alias("estimate"))
 
 
 def nearest(data: DataFrame, queries: DataFrame, axes: dict[str, tuple[str, float]], key: str, query: str, k: int) -> DataFrame:
-    """The k nearest rows of each query: axes maps a data column to a query column and a weight; ties go to the smaller key.
+    """The k nearest rows of each query beside it: axes maps a data column to a query column and a weight; ties go to the smaller key.
 
-    The rank limit is applied by every task before rows are shuffled.
+    Tasks compare their rows with a block of queries at a time and keep k rows of a batch for each, so no pairs are
+    made but those; rows without a place are near to nothing.
     """
-    pairs = _against(queries, data).withColumn("__d", _squared([(F.col(a), F.col(b), w) for a, (b, w) in axes.items()]))
+    names, weights = [b for b, _ in axes.values()], [w for _, w in axes.values()]
+
+    def run(batches, block):
+        columns = [block.column(b).cast(pa.float64()).to_numpy() for b in names]
+        for batch in batches:
+            order = pc.sort_indices(batch.column(key))
+            sorted_ = batch.take(order)
+            mine = [sorted_.column(a).cast(pa.float64()).to_numpy() for a in axes]
+            for start in range(0, block.num_rows, 256):
+                d = np.zeros((len(columns[0][start : start + 256]), sorted_.num_rows))
+                for c, m, w in zip(columns, mine, weights):
+                    d += (m - c[start : start + 256, None]) ** 2 * w
+                first = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows are in the order of keys
+                rows = sorted_.take(pa.array(first.ravel()))
+                whose = np.repeat(np.arange(start, start + len(d)), first.shape[1])
+                asked = block.take(pa.array(whose))
+                found = [*rows.columns, *[asked.column(c).combine_chunks() for c in block.column_names], pa.array(np.take_along_axis(d, first, axis=1).ravel())]
+                yield pa.RecordBatch.from_arrays(found, names=schema.names)
+
+    there = F.lit(True)
+    for a in axes:
+        there = there & F.col(a).isNotNull()
+    schema = StructType([*data.schema.fields, *queries.schema.fields, StructField("__d", DoubleType())])
+    asked = queries
+    for b in names:
+        asked = asked.where(F.col(b).isNotNull())
+    pairs = _passes(data.where(there), asked, run, schema)
     rank = F.row_number().over(Window.partitionBy(query).orderBy("__d", key))
     return pairs.withColumn("__rank", rank).where(F.col("__rank") <= k)
 
@@ -323,8 +372,6 @@ def perceptron(df: DataFrame, features: Sequence[Column], label: Column, classes
     Each round is one pass: tasks turn batches into sums of gradients, a row each, which Spark adds up.  Labels are
     numbers from 0; the model is small by nature.  The last column of each layer's input is 1.
     """
-    import pyarrow as pa
-
     rng, width = np.random.default_rng(seed), len(features)
     layers = [rng.normal(0, 1 / np.sqrt(width), (width + 1, hidden)), rng.normal(0, 1 / np.sqrt(hidden), (hidden + 1, classes))]
     rows = df.select(*[f.cast("double").alias(f"f{i}") for i, f in enumerate(features)], label.cast("int").alias("y"))

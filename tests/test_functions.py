@@ -117,15 +117,16 @@ def kruskal(edges):
 def test_spanning_forests(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(0, 9, 150)) if a != b] + [(100, 101, 2.0), (5, 5, 1.0)]
-    got = graphs.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double")).collect()
-    assert (len(got), sum(r.w for r in got)) == kruskal(edges[:-1])
+    for few in (0, None):
+        got = graphs.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double"), few=few).collect()
+        assert (len(got), sum(r.w for r in got)) == kruskal(edges[:-1])
     whole = graphs.random_graph(spark, 80, seed=2)
     rows = [tuple(r) for r in whole.collect()]
     assert len(rows) == len({r[:2] for r in rows}) == 80 * 79 // 2 and all(0 <= a < b < 80 for a, b, _ in rows)
     tree = graphs.random_tree(spark, 80, seed=2).collect()
     n, total = kruskal(rows)
     assert len(tree) == n == 79 and sum(r.w for r in tree) == pytest.approx(total)
-    assert graphs.spanning_forest(whole.limit(0)).count() == 0
+    assert graphs.spanning_forest(whole.limit(0)).count() == 0 and graphs.spanning_forest(whole.limit(0), few=-1).count() == 0
 
 
 def test_trees_that_the_first_edges_do_not_connect(spark):
