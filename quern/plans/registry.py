@@ -16,6 +16,7 @@ from quern.plans.session import Session
 from quern.session import table
 from quern.sources import csvfile
 from quern.sources.storage import shared_dir
+from quern.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -377,6 +378,17 @@ def csv_roundtrip(spark, sf_dir):
     return e.frame(a=e.fetch("db.t.a", s), b=e.fetch("db.t.b", s))
 
 
+@query("SELECT p_partkey, p_size FROM part")
+def arriving_files(spark, sf_dir):
+    """Files that arrive in a folder one after the other become a table's rows, each once."""
+    base = f"{shared_dir(spark)}/quern-arrivals-{uuid.uuid4().hex}"
+    rows, found = table(spark, sf_dir, "part").select("p_partkey", "p_size"), None
+    for i in range(2):
+        rows.where(F.col("p_partkey") % 2 == i).write.mode("append").option("header", True).csv(f"{base}/in")
+        found = ingest.appended(spark, f"{base}/in", rows.schema, f"{base}/table", f"{base}/check")
+    return found
+
+
 def _saved(spark, sf_dir, index: str | None) -> Engine:
     path = f"{shared_dir(spark)}/quern-db-{uuid.uuid4().hex}"
     e = Engine(spark, path)
