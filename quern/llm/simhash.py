@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import forget, fresh, groups, slices, split_join, stored
+from quern.llm.common import forget, fresh, groups, slices, split_join, stored, with_uid
 
 BITS = 64
 #: Fingerprints that one comparison cell takes from one side; larger buckets are dealt to cells of pairs of parts.
@@ -410,21 +410,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     Rows are near-duplicates at a Jaccard similarity of 0.8 or more of their shingles, directly or by others; texts
     without words are copies of each other, and so are rows that repeat key and text.
     """
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    (uid,) = fresh(docs, "uid")
+    whole = with_uid(docs, uid)
+    rows = whole.select(F.col(uid).alias("uid"), F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     prints = stored(described(rows, "text", width), "prints")
-    sets = stored(prints.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("n", "fp", "sfp", "text_hash")]), "sets")
+    sets = stored(prints.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("n", "fp", "sfp", "uid")]), "sets")  # one row for each set
     families = components(links(sets, WORD_BITS, node="sid", also=["sfp", "n"], agree=_alike, chance=1e4))
     named = families.select(F.col("root").alias("family"), F.col("node").alias("sid"))
     named = named.union(named.select("family", F.col("family").alias("sid")).distinct())
-    members = stored(sets.join(named, "sid").select("family", "sid", "n", "sfp", "text_hash"), "members")
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    wanted = texts.join(members.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    roots = components(similar_links(stored(members.join(wanted, "text_hash"), "texts"), width))
-    order = F.struct(F.col("key").isNull().alias("absent"), F.col("key").alias("id"), F.col("text_hash").alias("h"))
-    grouped = prints.select("key", "text_hash", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    first = grouped.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min(order).alias("w"))
-    first = first.select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h"))
-    (h,) = fresh(docs, "text_hash")
-    marked = docs.withColumn(h, F.xxhash64(text))
-    kept = marked.join(first, marked[key].eqNullSafe(first["w_id"]) & (marked[h] == first["w_h"]), "left_semi")
-    return kept.dropDuplicates([key, h]).select(*docs.columns)
+    members = stored(sets.join(named, "sid").select("family", "sid", "n", "sfp", "uid"), "members")
+    roots = components(similar_links(stored(rows.select("uid", "text").join(members, "uid"), "texts"), width))
+    order = F.struct(F.col("key").isNull().alias("absent"), F.col("key").alias("id"), F.col("text_hash").alias("h"), F.col("uid").alias("uid"))
+    grouped = split_join(prints.select("key", "text_hash", "uid", "sid"), roots.withColumnRenamed("node", "sid"), "sid", "left")
+    first = grouped.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min(order).alias("w")).select(F.col("w.uid").alias(uid))
+    return whole.join(first, uid, "left_semi").select(*docs.columns)
