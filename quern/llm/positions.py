@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ BLOCK_WORDS = 2_000_000
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Terms of phrases that are broadcast to be counted; more of them are joined.
 MOST_TERMS = 1_000_000
+#: Terms of a block of phrases up to which a segment's terms are looked up all at once.
+FEW_TERMS = 50_000
 _INDEX = "uids array<long>, keys array<string>, sizes array<int>, terms array<binary>, counts array<int>, places binary"
 
 
@@ -52,21 +55,20 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", segment_bytes):
-            number: dict[bytes, int] = {}
-            ids, sizes, at, starts = [], [], 0, []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
-                starts.append(at)
-                sizes.append(len(found))
-                at += len(found) + GAP
-            place = np.concatenate([np.arange(s, s + n, dtype=np.int32) for s, n in zip(starts, sizes)])
-            term = np.concatenate(ids)
+            bodies = pa.array([(x or "").encode("utf-8").translate(_WORD) for x in batch.column("text").to_pylist()], pa.binary())
+            found = pc.ascii_split_whitespace(bodies.cast(pa.string()))
+            flat, owner = found.flatten(), pc.list_parent_indices(found).to_numpy()
+            there = pc.greater(pc.binary_length(flat), 0)
+            coded = flat.filter(there).dictionary_encode()
+            owner = owner[there.to_numpy(zero_copy_only=False)]
+            term, number = coded.indices.to_numpy().astype(np.int32), coded.dictionary.cast(pa.binary())
+            sizes = np.bincount(owner, minlength=batch.num_rows).astype(np.int32)
+            place = np.arange(len(term), dtype=np.int32) + (owner * GAP).astype(np.int32)
             counts = np.bincount(term, minlength=len(number)).astype(np.int32)
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
             yield pa.RecordBatch.from_arrays(
                 [
-                    one(batch.column("uid"), pa.int64()), one(batch.column("key"), pa.string()), one(sizes, pa.int32()), one(list(number), pa.binary()), one(counts, pa.int32()),
+                    one(batch.column("uid"), pa.int64()), one(batch.column("key"), pa.string()), one(sizes, pa.int32()), one(number, pa.binary()), one(counts, pa.int32()),
                     pa.array([place[np.argsort(term, kind="stable")].tobytes()], pa.binary()),
                 ],
                 names=["uids", "keys", "sizes", "terms", "counts", "places"],
@@ -84,14 +86,16 @@ def documents(index: DataFrame) -> DataFrame:
 class Segment:
     """One segment, narrowed to the terms that are asked for."""
 
-    def __init__(self, row: pa.RecordBatch, vocabulary: dict[bytes, int]):
+    def __init__(self, row: pa.RecordBatch, vocabulary: dict[bytes, int], listed: pa.Array | None = None):
         of = lambda name: row.column(name)[0].values
         self.uids, self.sizes = of("uids").to_numpy(), of("sizes").to_numpy().astype(np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes + GAP)[:-1]]
         ends, places = np.cumsum(of("counts").to_numpy(), dtype=np.int64), np.frombuffer(row.column("places")[0].as_buffer(), np.int32)
         self.counts, self.lists = np.zeros(len(vocabulary), np.int64), {}
-        for i, term in enumerate(of("terms").to_pylist()):
-            if (v := vocabulary.get(term)) is not None:
+        terms = of("terms")
+        known = ((i, vocabulary.get(t)) for i, t in enumerate(terms.to_pylist())) if listed is None else enumerate(pc.index_in(terms, listed).to_pylist())
+        for i, v in known:
+            if v is not None:
                 self.lists[v] = places[ends[i - 1] if i else 0 : ends[i]]
                 self.counts[v] = len(self.lists[v])
 
@@ -200,9 +204,10 @@ def matches(index: DataFrame, benchmark: DataFrame, key: str = "item_id", text:
                 by_anchor.setdefault(int(terms[anchor]), []).append(number)
             names = sorted({item for item, _, _ in coded if item is not None})
             owner = {name: i for i, name in enumerate(names)}
+            listed = pa.array(list(vocabulary), pa.binary()) if len(vocabulary) <= FEW_TERMS else None
             for batch in batches:
                 for at in range(batch.num_rows):
-                    segment = Segment(batch.slice(at, 1), vocabulary)
+                    segment = Segment(batch.slice(at, 1), vocabulary, listed)
                     item, start, end = [], [], []
                     for anchor in segment.lists.keys() & by_anchor.keys():
                         for number in by_anchor[anchor]:
