@@ -133,23 +133,34 @@ def _near(rows: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, agree:
     return found & agree(rows[1:, a], rows[1:, b]) if agree else found
 
 
-def _forest(rows: np.ndarray, distance: int, agree: Agree | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, root) that span the components of one cell's fingerprints: each looks only at what none has reached."""
-    left = np.arange(rows.shape[1])
-    members, roots = [], []
-    while len(left):
-        root, left = left[0], left[1:]
-        front = np.array([root])
-        while len(front) and len(left):
-            reached = np.zeros(len(left), bool)
-            for at in range(0, len(front), 256):
-                rest = np.flatnonzero(~reached)
-                near = _near(rows, front[at : at + 256, None], left[rest], distance, agree).any(axis=0)
-                reached[rest[near]] = True
-            front, left = left[reached], left[~reached]
-            members.append(front)
-            roots.append(np.full(len(front), root))
-    return (np.concatenate(members), np.concatenate(roots)) if members else (np.empty(0, int), np.empty(0, int))
+def _spanned(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, root) that span the components of pairs among n rows; a root is its component's first row."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
+def _forest(rows: np.ndarray, distance: int, agree: Agree | None, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, root) that span the components of one cell's fingerprints; the cell bounds what is compared."""
+    pairs_a, pairs_b = [], []
+    n = rows.shape[1]
+    for at in range(0, n, block):
+        near = np.bitwise_count((rows[0, at : at + block, None] ^ rows[0, None, at:]).view(np.uint64)) <= distance
+        a, b = np.nonzero(np.triu(near, 1))
+        if agree is not None and len(a):
+            ok = agree(rows[1:, a + at], rows[1:, b + at])
+            a, b = a[ok], b[ok]
+        pairs_a.append(a + at)
+        pairs_b.append(b + at)
+    return _spanned(np.concatenate(pairs_a), np.concatenate(pairs_b), n)
 
 
 def _linked(group: np.ndarray, rows: np.ndarray, distance: int, agree: Agree | None = None, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -175,19 +186,9 @@ def _linked(group: np.ndarray, rows: np.ndarray, distance: int, agree: Agree | N
         pairs_a.append(at)
         pairs_b.append(at + step)
     if pairs_a:
-        a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-        label = np.arange(len(places))
-        while True:
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if (label == before).all():
-                break
-        moved = np.flatnonzero(label != np.arange(len(label)))
+        moved, root = _spanned(np.concatenate(pairs_a), np.concatenate(pairs_b), len(places))
         members.append(places[moved])
-        roots.append(places[label[moved]])
+        roots.append(places[root])
     return (np.concatenate(members), np.concatenate(roots)) if members else (np.empty(0, int), np.empty(0, int))
 
 
