@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 POS = "__pos"
 #: Bits of a scan position that number the rows of a file; the bits above number the files.
 ROW_BITS = 40
-#: Files up to which a scan's file numbers are a literal map; more are joined.
-FEW_FILES = 32
+#: Files up to which a scan's file numbers are a literal map, and bytes of paths up to which a table of them is broadcast.
+FEW_FILES, MOST_PATHS = 32, 64 << 20
 
 
 def _fs(spark: SparkSession, path: str):
@@ -93,7 +93,9 @@ def scan_positions(df: DataFrame, name: str = POS) -> DataFrame:
     if len(files) <= FEW_FILES:
         number = F.element_at(F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))]), shown)
         return df.withColumn(name, F.shiftleft(F.coalesce(number.cast("long"), lost), ROW_BITS) + row)
-    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __path string")  # the planner goes by its size
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __path string")
+    if sum(map(len, files)) <= MOST_PATHS:
+        numbers = F.broadcast(numbers)
     joined = df.withColumn("__row", row).withColumn("__shown", shown).join(numbers, F.col("__shown") == F.col("__path"), "left")
     return joined.withColumn(name, F.shiftleft(F.coalesce("__file", lost), ROW_BITS) + F.col("__row")).select(*df.columns, name)
 
