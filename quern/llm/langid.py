@@ -38,12 +38,12 @@ from quern.llm.common import fresh, slices
 UNDETERMINED = "und"
 LONGEST = 5
 #: Bounds of the fit: labelled rows, and bytes of their texts, in expectation.
-ROWS, BYTES = 6000, 8 << 20
+ROWS, BYTES = 6000, 4 << 20
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Added to every count.
 SMOOTH = 0.5
 #: Unseen words whose n-grams a worker keeps.
-CACHE = 200_000
+CACHE = 50_000
 
 
 def tokens(text: str | None) -> list[str]:

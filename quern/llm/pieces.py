@@ -42,9 +42,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a model file that may be sent to the executors.
 MOST_MODEL = 64 << 20
 #: Words whose pieces a worker keeps from batch to batch, and pairs of pieces that it keeps scores of.
-CACHE, PAIRS = 250_000, 250_000
+CACHE, PAIRS = 120_000, 200_000
 #: Bytes of texts that are cut into words at once; words take a multiple of it.
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 
 @dataclass
