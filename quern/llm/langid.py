@@ -38,7 +38,7 @@ from quern.llm.common import fresh, slices
 UNDETERMINED = "und"
 LONGEST = 5
 #: Bounds of the fit: labelled rows, and bytes of their texts, in expectation.
-ROWS, BYTES = 6000, 4 << 20
+ROWS, BYTES = 6000, 6 << 20
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Added to every count.
 SMOOTH = 0.5
