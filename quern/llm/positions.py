@@ -257,7 +257,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     (uid,) = fresh(docs, "uid")
     marked = with_uid(docs, uid)
     bad = contamination(marked, benchmark, key, text, uid=uid, **options).where("contaminated").select(F.col("uid").alias(uid))
-    return marked.join(bad, uid, "left_anti").select(*docs.columns)
+    return marked.join(bad.hint("shuffle_hash"), uid, "left_anti").select(*docs.columns)
 
 
 def oracle(window: int = 13, share: int = 20) -> str:

@@ -420,8 +420,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     named = families.select(F.col("root").alias("family"), F.col("node").alias("sid"))
     named = named.union(named.select("family", F.col("family").alias("sid")).distinct())
     members = stored(sets.join(named, "sid").select("family", "sid", "n", "sfp", "uid"), "members")
-    roots = components(similar_links(stored(rows.select("uid", "text").join(members, "uid"), "texts"), width))
+    # neither side of these two joins has a bound, so none is broadcast; the side without texts is hashed
+    roots = components(similar_links(stored(rows.select("uid", "text").join(members.hint("shuffle_hash"), "uid"), "texts"), width))
     order = F.struct(F.col("key").isNull().alias("absent"), F.col("key").alias("id"), F.col("text_hash").alias("h"), F.col("uid").alias("uid"))
     grouped = split_join(prints.select("key", "text_hash", "uid", "sid"), roots.withColumnRenamed("node", "sid"), "sid", "left")
     first = grouped.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min(order).alias("w")).select(F.col("w.uid").alias(uid))
-    return whole.join(first, uid, "left_semi").select(*docs.columns)
+    return whole.join(first.hint("shuffle_hash"), uid, "left_semi").select(*docs.columns)
