@@ -751,7 +751,7 @@ def _components_sql(rounds: int = 400) -> str:
   SELECT r + 1, {", ".join(f"u{i} / sqrt(u0 * u0 + u1 * u1 + u2 * u2 + u3 * u3)" for i in n)} FROM (SELECT r, {", ".join(f"{times(i)} AS u{i}" for i in n)} FROM {name}, {source}) WHERE r < {rounds}),
 {name}_value AS (SELECT {" + ".join(f"v{i} * ({times(i)})" for i in n)} AS l, {", ".join(f"v{i}" for i in n)} FROM {name}, {source} WHERE r = {rounds})"""
     return f"""
-WITH RECURSIVE x AS (SELECT l_quantity / 50.0::DOUBLE AS a, l_extendedprice / 100000.0::DOUBLE AS b, l_discount * 10.0::DOUBLE AS c, l_tax * 10.0::DOUBLE AS d FROM lineitem),
+WITH RECURSIVE x AS (SELECT l_quantity / 50.0::DOUBLE AS a, l_extendedprice / 100000.0::DOUBLE AS b, l_discount * 20.0::DOUBLE AS c, l_tax * 10.0::DOUBLE AS d FROM lineitem),
 m AS (SELECT {", ".join(f"covar_pop({names[i]}, {names[j]}) AS {cell(i, j)}" for i, j in cells)} FROM x),
 {power("p", "m")},
 m2 AS (SELECT {", ".join(f"{cell(i, j)} - l * v{i} * v{j} AS {cell(i, j)}" for i, j in cells)} FROM m, p_value),
@@ -762,7 +762,7 @@ SELECT round(m00 + m11 + m22 + m33 - p_value.l - q_value.l, 8) AS error, round(p
 @query(_components_sql())
 def principal_components(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    columns = [F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000, F.col("l_discount") * 10, F.col("l_tax") * 10]
+    columns = [F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000, F.col("l_discount") * 20, F.col("l_tax") * 10]
     mean, parts, shares = ml.principal_components(df, columns, 2)
     error = ml.reconstruction_error(df, columns, mean, parts)
     return error.select(F.round("error", 8).alias("error"), *[F.lit(round(float(s), 8)).alias(f"share{i}") for i, s in enumerate(shares[:2])])
