@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quern.operators.relation import Base, Expr, Filter, Relation, Scalar, Vector
 from quern.sources.storage import POS
@@ -77,7 +78,8 @@ def interval_aggregates(group: Sequence[Member], spans: Sequence[tuple]) -> Data
     """shared_aggregates for any number of ranges of one column, by the intervals between all their bounds.
 
     A row is looked up once and counts for its interval; there are at most one more of these than bounds.  The ranges
-    are unions of intervals, so what they want is put together from the intervals' counts, sums, least and greatest.
+    are unions of intervals, so what they want is put together, by the driver, from the intervals' counts, sums, least
+    and greatest.
     """
     first = group[0][1]
     df, col, column = first.plain, _under(first), spans[0][0]
@@ -96,26 +98,26 @@ def interval_aggregates(group: Sequence[Member], spans: Sequence[tuple]) -> Data
         if any(o.how in ("sum", "avg") and str(o.make(col)) == text for o, _, _ in group):
             parts.append(F.sum(x).alias(f"s{i}"))
     per = df.where(value.isNotNull()).groupBy(_interval(value, bounds).alias("__at")).agg(*parts)
-    out = []
+    rows = sorted(per.collect(), key=lambda r: r["__at"])  # interval k holds what is at or above bound k - 1 and below bound k
+    out, kinds = [], []
     for j, ((s, _, _), (_, low, high)) in enumerate(zip(group, spans)):
         i = numbers[str(s.make(col))]
-        inside = F.lit(True)  # interval k holds what is at or above bound k - 1 and below bound k
-        if low is not None:
-            inside = inside & (F.col("__at") > bisect_left(bounds, low))
-        if high is not None:
-            inside = inside & (F.col("__at") <= bisect_left(bounds, high))
-        of = lambda f, x: f(F.when(inside, F.col(x)))  # noqa: B023, E731
-        count = F.coalesce(of(F.sum, f"n{i}"), F.lit(0))
+        first_one = bisect_left(bounds, low) + 1 if low is not None else 0
+        last_one = bisect_left(bounds, high) if high is not None else len(bounds)
+        inside = [r for r in rows if first_one <= r["__at"] <= last_one]
+        of = lambda name: [r[name] for r in inside if r[name] is not None]  # noqa: B023, E731
+        count, kind = sum(of(f"n{i}")), per.schema[f"l{i}"].dataType
         if s.how == "count":
-            found = count
+            found, kind = count, LongType()
         elif s.how == "sum":
-            found = F.coalesce(of(F.sum, f"s{i}"), F.lit(0 if s.integral else 0.0))
+            found, kind = sum(of(f"s{i}")) if count else (0 if s.integral else 0.0), per.schema[f"s{i}"].dataType
         elif s.how == "avg":
-            found = F.coalesce(of(F.sum, f"s{i}").cast("double") / count, F.lit(0.0))
+            found, kind = (float(sum(of(f"s{i}"))) / count if count else 0.0), DoubleType()
         else:
-            found = of(F.min, f"l{i}") if s.how == "min" else of(F.max, f"g{i}")
-        out.append(found.alias(f"a{j}"))
-    return per.agg(*out)
+            found = min(of(f"l{i}"), default=None) if s.how == "min" else max(of(f"g{i}"), default=None)
+        out.append(found)
+        kinds.append(StructField(f"a{j}", kind, True))
+    return df.sparkSession.createDataFrame([tuple(out)], StructType(kinds))
 
 
 def shared_aggregates(group: Sequence[Member]) -> DataFrame:
