@@ -7,7 +7,7 @@ and the MD5 of the samples are verified; a frame that fails raises.  Frame start
 header's CRC-8 and the expected number, and confirmed by CRC-16.
 
 The encoder writes mono 8-bit streams of 576-sample frames: constant, fixed predictors of order 0 to 2, or a linear
-predictor of order 4 that is solved for the frame, with Rice partitions, or verbatim where that is smaller, a seek
+predictor of order 7 that is solved for the frame, with Rice partitions, or verbatim where that is smaller, a seek
 table for streams of more than 16 frames, and the MD5.  The decoder takes mono and stereo streams of 4 to 24 bits with constant, verbatim, fixed and LPC
 subframes, wasted bits and escaped partitions.
 
@@ -38,7 +38,7 @@ SEEK_FRAMES = 16
 SIDE = 8192
 ENCODE_SIDE = 256
 #: The encoder's linear predictors: order, bits of a coefficient, and their shift; what share of the residuals they must save.
-ORDER, PRECISION, SHIFT, SAVED = 4, 6, 4, 0.05
+ORDER, PRECISION, SHIFT, SAVED = 7, 4, 2, 0.05
 #: Samples of a PCM block.
 BLOCK = 65_536
 
