@@ -164,13 +164,21 @@ class Vector:
 
 @dataclass
 class Scalar:
-    """One number: an aggregate of a vector, or a selection's size."""
+    """One number: an aggregate of a vector, or a selection's size.
+
+    Sums and averages of nothing are 0, as the engine has it; those that are not `zero` are null, as SQL has it.
+    """
 
     how: str
     rel: Relation
     make: Expr
     integral: bool = True
     known: list = field(default_factory=list)
+    zero: bool = True
+
+    def as_sql(self) -> Scalar:
+        """The same number, but null where there is nothing to add up."""
+        return Scalar(self.how, self.rel, self.make, self.integral, zero=False)
 
     def aggregate(self, guard: Column | None = None, col: Callable[[str], Column] = F.col) -> Column:
         """The aggregate, over the rows that guard lets in."""
@@ -180,9 +188,9 @@ class Scalar:
         if self.how == "count":
             return F.count(value)
         if self.how == "sum":
-            return F.coalesce(F.sum(value), F.lit(0 if self.integral else 0.0))
+            return F.coalesce(F.sum(value), F.lit(0 if self.integral else 0.0)) if self.zero else F.sum(value)
         if self.how == "avg":
-            return F.coalesce(F.avg(value), F.lit(0.0))
+            return F.coalesce(F.avg(value), F.lit(0.0)) if self.zero else F.avg(value)
         return {"min": F.min, "max": F.max}[self.how](value)
 
     def frame(self, name: str = "v") -> DataFrame:

@@ -110,9 +110,10 @@ def interval_aggregates(group: Sequence[Member], spans: Sequence[tuple]) -> Data
         if s.how == "count":
             found, kind = count, LongType()
         elif s.how == "sum":
-            found, kind = sum(of(f"s{i}")) if count else (0 if s.integral else 0.0), per.schema[f"s{i}"].dataType
+            nothing = (0 if s.integral else 0.0) if s.zero else None
+            found, kind = sum(of(f"s{i}")) if count else nothing, per.schema[f"s{i}"].dataType
         elif s.how == "avg":
-            found, kind = (float(sum(of(f"s{i}"))) / count if count else 0.0), DoubleType()
+            found, kind = (float(sum(of(f"s{i}"))) / count if count else 0.0 if s.zero else None), DoubleType()
         else:
             found = min(of(f"l{i}"), default=None) if s.how == "min" else max(of(f"g{i}"), default=None)
         out.append(found)

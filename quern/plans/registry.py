@@ -112,13 +112,13 @@ def _fetched(e: Engine, column: str) -> Vector:
 @query("SELECT CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem WHERE l_partkey>=100 AND l_partkey<200")
 def agg_sum(spark, sf_dir):
     e = _lineitem(spark, sf_dir)
-    return e.aggregate("sum", _fetched(e, "l_linenumber")).frame("s")
+    return e.aggregate("sum", _fetched(e, "l_linenumber")).as_sql().frame("s")
 
 
 @query("SELECT avg(l_linenumber) AS a FROM lineitem WHERE l_partkey>=100 AND l_partkey<200")
 def agg_avg(spark, sf_dir):
     e = _lineitem(spark, sf_dir)
-    return e.aggregate("avg", _fetched(e, "l_linenumber")).frame("a")
+    return e.aggregate("avg", _fetched(e, "l_linenumber")).as_sql().frame("a")
 
 
 def _side_by_side(scalars: dict) -> DataFrame:
@@ -136,7 +136,7 @@ def agg_minmax(spark, sf_dir):
 @query("SELECT CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem")
 def agg_whole_column(spark, sf_dir):
     e = _lineitem(spark, sf_dir)
-    return e.aggregate("sum", e.whole("db.lineitem.l_linenumber")).frame("s")
+    return e.aggregate("sum", e.whole("db.lineitem.l_linenumber")).as_sql().frame("s")
 
 
 @query("SELECT CAST(coalesce(sum(l_linenumber),0) AS BIGINT) AS s, CAST(coalesce(avg(l_linenumber),0.0) AS DOUBLE) AS a, min(l_linenumber) AS m FROM lineitem WHERE l_partkey<0")
@@ -168,7 +168,8 @@ def boss_query(spark, sf_dir):
     s = _narrow(e)
     part, supp, line = (e.fetch(f"db.lineitem.{c}", s) for c in ("l_partkey", "l_suppkey", "l_linenumber"))
     less = e.sub(line, supp)
-    return _side_by_side({"a1": e.aggregate("avg", e.add(part, supp)), "m1": e.aggregate("min", supp), "m2": e.aggregate("max", line), "a2": e.aggregate("avg", less), "s1": e.aggregate("sum", less)})
+    found = {"a1": e.aggregate("avg", e.add(part, supp)), "m1": e.aggregate("min", supp), "m2": e.aggregate("max", line), "a2": e.aggregate("avg", less), "s1": e.aggregate("sum", less)}
+    return _side_by_side({name: scalar.as_sql() for name, scalar in found.items()})
 
 
 # ---- joins
@@ -179,7 +180,7 @@ def _joined(spark, sf_dir, how: str) -> DataFrame:
     s, p = e.select("db.lineitem.l_orderkey", None, 5000), e.select("db.part.p_size", None, 10)
     a, b = e.join(e.fetch("db.lineitem.l_partkey", s), s, e.fetch("db.part.p_partkey", p), p, how)
     rows = e.frame(x=e.fetch("db.lineitem.l_linenumber", a), y=e.fetch("db.part.p_size", b))
-    return rows.agg(F.avg("x").alias("a"), F.coalesce(F.sum("y"), F.lit(0)).alias("s"))
+    return rows.agg(F.avg("x").alias("a"), F.sum("y").alias("s"))
 
 
 _JOIN_SQL = "SELECT avg(l_linenumber) AS a, CAST(sum(p_size) AS BIGINT) AS s FROM lineitem JOIN part ON l_partkey=p_partkey WHERE l_orderkey<5000 AND p_size<10"
@@ -209,7 +210,7 @@ def join_many_many(spark, sf_dir):
     c, s = e.select("db.customer.c_custkey"), e.select("db.supplier.s_suppkey")
     a, b = e.join(e.fetch("db.customer.c_nationkey", c), c, e.fetch("db.supplier.s_nationkey", s), s, "hash")
     rows = e.frame(x=e.fetch("db.customer.c_custkey", a), y=e.fetch("db.supplier.s_suppkey", b))
-    return rows.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("s"), F.avg("y").alias("a"))
+    return rows.agg(F.sum("x").alias("s"), F.avg("y").alias("a"))
 
 
 @query("SELECT o_orderkey, c_name, c_acctbal FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_totalprice>=100000 AND c_acctbal<5000")

@@ -36,3 +36,15 @@ def test_query(spark, duck, name):
     want = plain(rel.select(*[duckdb.ColumnExpression(c) for c in order]).fetchall())
     assert got == want
     assert not math.isnan(len(want))
+
+
+@pytest.mark.parametrize("name", ["boss_query", "agg_sum", "agg_avg", "agg_whole_column", "agg_empty", "join_hash_m1", "join_many_many"])
+def test_nothing_selected(spark, tmp_path, name):
+    """Sums and averages of no rows are null in SQL, unless it says 0 itself."""
+    own = duckdb.connect()
+    for t in ("lineitem", "part", "customer", "supplier"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        own.sql(f"CREATE TABLE {t} AS SELECT * FROM '{DIR}/{t}.parquet' LIMIT 0")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    want = own.sql(registry.ORACLES[name])
+    assert plain(df.select(*want.columns).collect()) == plain(want.fetchall())
