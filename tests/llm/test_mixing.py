@@ -164,3 +164,24 @@ def test_defined_cases(spark):
     assert m.scores(docs.limit(0)).collect() == []
     nothing = m.scores(docs.where("doc_id = 2"), modulus=1).collect()
     assert [(r.held_out, r.n_known, r.train_tokens) for r in nothing] == [(True, 0, 0)]
+
+
+def test_weights_are_learned_from_all_training_rows(spark):
+    """Every bit of every training row is tallied once, in the half that the row's text is not counted in."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(3)
+    fold = m.crc_mod("doc_id", 10)
+    train = docs.where(fold != 0).select("text", (F.pmod(F.xxhash64("text"), F.lit(2)) == 1).alias("half"))
+    code = m.Code.of(m.pair_counts(train.select("text")))
+    first, second, every = m.log_odds(train, code)
+    counts = m.tallied(train, code, first, second)
+    bits = 0
+    for r in train.collect():
+        symbols = np.array([*(r.text or "").encode(), m.END])
+        bits += int(code.length[np.r_[m.END, symbols[:-1]] * 257 + symbols].sum())
+    assert counts.sum() == bits
+    halves = [m._encoded([r.text for r in train.where(on).collect()]) for on in ("not half", "half")]
+    assert (counts.ravel() == m.Mixer.start(code, second).tally(halves[0]) + m.Mixer.start(code, first).tally(halves[1])).all()
+    weights = m.learned(counts)
+    assert (m.fit(docs, "doc_id", "text", fold, 10).weights == weights).all()
+    cost = lambda w: sum(float(c.sum()) for i, t in ((0, second), (1, first)) for c in m.Mixer(code, t, w).costs(halves[i][:200]))
+    assert cost(weights) < cost(m.Mixer.start(code, every).weights)
