@@ -18,6 +18,8 @@ from quern.sources.storage import stored
 
 #: Rows of a query set that may be sent to every task; larger ones are dealt in blocks of this size.
 QUERY_BLOCK = 20_000
+#: The same where neighbours are looked up, and rows that a task looks them up among at a time.
+LOOKUP_BLOCK, PIECE_ROWS = 1 << 16, 1 << 20
 
 
 def _squared(pairs: Sequence[tuple[Column, Column, float]]) -> Column:
@@ -27,19 +29,19 @@ def _squared(pairs: Sequence[tuple[Column, Column, float]]) -> Column:
     return whole
 
 
-def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries in tables of at most about QUERY_BLOCK rows, one after the other."""
+def _blocks(queries: DataFrame, most: int) -> Iterator[pa.Table]:
+    """The queries in tables of at most about so many rows, one after the other."""
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    blocks = max(1, -(-n // most))
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)) == i)
         yield part.toArrow()
 
 
-def _passes(data: DataFrame, queries: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+def _passes(data: DataFrame, queries: DataFrame, run: Callable, schema: str | StructType, most: int | None = None) -> DataFrame:
     """run(batches, block) over the data for each block of queries; beyond one, a block's rows are stored before the next is sent."""
     out = None
-    for block in _blocks(queries):
+    for block in _blocks(queries, most or QUERY_BLOCK):
         found = data.mapInArrow(partial(run, block=block), schema)
         if out is None:
             out = found
@@ -67,30 +69,90 @@ def kernel_regression(data: DataFrame, queries: DataFrame, x: str, y: str, at: s
     return sums.groupBy(F.col("at").alias(at)).agg((F.sum("top") / F.sum("low")).alias("estimate"))
 
 
+def _least_keys(rows: pa.Table, places: np.ndarray, key: str, k: int) -> np.ndarray:
+    """Numbers of the rows that can be near: of those at one place, the k with the smallest keys; in the order of places, then keys."""
+    by_key = pc.sort_indices(rows.column(key)).to_numpy()
+    order = by_key[np.lexsort(places[::-1, by_key])]
+    new = np.r_[True, (places[:, order[1:]] != places[:, order[:-1]]).any(axis=0)]
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < k]
+
+
+def _closest(queries: np.ndarray, places: np.ndarray, ranks: np.ndarray, scales: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of a place, distance) of the k nearest of each query, or all if there are fewer; equals by the smaller rank.
+
+    Places are looked up along the axis on which they lie widest apart: a window of them around the query holds the
+    nearest once what lies outside of it is further on this axis alone.  Until then the window is doubled.
+    """
+    n, k = places.shape[1], min(k, places.shape[1])
+    main = int(np.argmax([len(np.unique(p)) for p in places]))
+    order = np.argsort(places[main], kind="stable")
+    places, ranks, line = places[:, order], ranks[order], places[main, order]
+    found, distance = np.empty((queries.shape[1], k), np.int64), np.empty((queries.shape[1], k))
+    todo, width = np.arange(queries.shape[1]), min(n, max(64, 4 * k))
+    centre = np.searchsorted(line, queries[main])
+    while len(todo):
+        unsettled = []
+        step = max(1, (1 << 19) // width)
+        for at in range(0, len(todo), step):
+            who = todo[at : at + step]
+            first = np.clip(centre[who] - width // 2, 0, n - width)
+            near = first[:, None] + np.arange(width)
+            d = np.zeros(near.shape)
+            for q, p, s in zip(queries, places, scales):
+                d += (p[near] - q[who, None]) ** 2 / s
+            best = np.lexsort((ranks[near], d), axis=1)[:, :k]
+            d = np.take_along_axis(d, best, axis=1)
+            q, s = queries[main, who], scales[main]
+            below = np.where(first > 0, (line[first - 1] - q) ** 2 / s, np.inf)
+            above = np.where(first + width < n, (line[np.minimum(first + width, n - 1)] - q) ** 2 / s, np.inf)
+            # NaN is further than all, and only the whole line tells which of it is near
+            done = (~(below <= d[:, -1]) & ~(above <= d[:, -1]) & ~np.isnan(d[:, -1])) | (width == n)
+            found[who[done]] = order[np.take_along_axis(near, best, axis=1)[done]]
+            distance[who[done]] = d[done]
+            unsettled.append(who[~done])
+        todo, width = np.concatenate(unsettled), min(n, 2 * width)
+    return found, distance
+
+
 def nearest(data: DataFrame, queries: DataFrame, axes: dict[str, tuple[str, float]], key: str, query: str, k: int) -> DataFrame:
-    """The k nearest rows of each query beside it: axes maps a data column to a query column and a weight; ties go to the smaller key.
+    """The k nearest rows of each query beside it: axes maps a data column to a query column and a scale, by which the
+    square of the difference is divided; ties go to the smaller key.
 
-    Tasks compare their rows with a block of queries at a time and keep k rows of a batch for each, so no pairs are
-    made but those; rows without a place are near to nothing.
+    Tasks gather their rows in pieces, keep what can be near at each place, and look a block of queries up in them;
+    each keeps k rows for a query over all its pieces, so no pairs are made but those.  Rows without a place are near to
+    nothing.
     """
-    names, weights = [b for b, _ in axes.values()], [w for _, w in axes.values()]
+    names, scales, most = [b for b, _ in axes.values()], [s for _, s in axes.values()], PIECE_ROWS
+
+    def place(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
+        return np.stack([rows.column(c).cast(pa.float64()).to_numpy() for c in columns]) + 0.0  # one zero
 
     def run(batches, block):
-        columns = [block.column(b).cast(pa.float64()).to_numpy() for b in names]
-        for batch in batches:
-            order = pc.sort_indices(batch.column(key))
-            sorted_ = batch.take(order)
-            mine = [sorted_.column(a).cast(pa.float64()).to_numpy() for a in axes]
-            for start in range(0, block.num_rows, 256):
-                d = np.zeros((len(columns[0][start : start + 256]), sorted_.num_rows))
-                for c, m, w in zip(columns, mine, weights):
-                    d += (m - c[start : start + 256, None]) ** 2 * w
-                first = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows are in the order of keys
-                rows = sorted_.take(pa.array(first.ravel()))
-                whose = np.repeat(np.arange(start, start + len(d)), first.shape[1])
-                asked = block.take(pa.array(whose))
-                found = [*rows.columns, *[asked.column(c).combine_chunks() for c in block.column_names], pa.array(np.take_along_axis(d, first, axis=1).ravel())]
-                yield pa.RecordBatch.from_arrays(found, names=schema.names)
+        wanted = place(block, names)
+        best, whose, d = None, np.zeros(0, np.int64), np.zeros(0)
+        for piece in _pieces(batches, most):
+            own = place(piece, list(axes))
+            kept = _least_keys(piece, own, key, k)
+            piece, own = piece.take(pa.array(kept)), own[:, kept]
+            ranks = np.empty(len(kept), np.int64)
+            ranks[pc.sort_indices(piece.column(key)).to_numpy()] = np.arange(len(kept))
+            found, distance = _closest(wanted, own, ranks, scales, k)
+            rows, asked = piece.take(pa.array(found.ravel())), np.repeat(np.arange(block.num_rows), found.shape[1])
+            if best is None:
+                best, whose, d = rows, asked, distance.ravel()
+                continue
+            rows, whose, d = pa.concat_tables([best, rows]), np.r_[whose, asked], np.r_[d, distance.ravel()]
+            ranks = np.empty(len(d), np.int64)
+            ranks[pc.sort_indices(rows.column(key)).to_numpy()] = np.arange(len(d))
+            order = np.lexsort((ranks, d, whose))
+            firsts = np.searchsorted(whose[order], np.arange(block.num_rows))
+            order = order[np.arange(len(order)) - firsts[whose[order]] < k]
+            best, whose, d = rows.take(pa.array(order)), whose[order], d[order]
+        if best is not None:
+            asked = block.take(pa.array(whose))
+            found = pa.table([*best.columns, *asked.columns, pa.array(d)], names=schema.names)
+            yield from found.combine_chunks().to_batches(max_chunksize=1 << 16)
 
     there = F.lit(True)
     for a in axes:
@@ -99,11 +161,25 @@ def nearest(data: DataFrame, queries: DataFrame, axes: dict[str, tuple[str, floa
     asked = queries
     for b in names:
         asked = asked.where(F.col(b).isNotNull())
-    pairs = _passes(data.where(there), asked, run, schema)
+    pairs = _passes(data.where(there), asked, run, schema, LOOKUP_BLOCK)
     rank = F.row_number().over(Window.partitionBy(query).orderBy("__d", key))
     return pairs.withColumn("__rank", rank).where(F.col("__rank") <= k)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of batches in tables of about `most` rows."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def knn_regression(data: DataFrame, queries: DataFrame, x: str, y: str, key: str, at: str, k: int) -> DataFrame:
     """(at, estimate): the mean of the k nearest rows' y."""
     return nearest(data.select(key, x, y), queries.select(at), {x: (at, 1.0)}, key, at, k).groupBy(at).agg(F.avg(y).alias("estimate"))

@@ -643,7 +643,7 @@ def knn_regression(spark, sf_dir):
 
 
 _KNN = "SELECT s_suppkey, c_mktsegment, row_number() OVER (PARTITION BY s_suppkey ORDER BY (c_nationkey - s_nationkey) * (c_nationkey - s_nationkey) / 9.0::DOUBLE + (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal), c_custkey) AS r FROM customer, supplier"
-_KNN_AXES = {"c_nationkey": ("s_nationkey", 1 / 9), "c_acctbal": ("s_acctbal", 1.0)}
+_KNN_AXES = {"c_nationkey": ("s_nationkey", 9.0), "c_acctbal": ("s_acctbal", 1.0)}
 
 
 def _neighbours(spark, sf_dir):

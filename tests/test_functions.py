@@ -1,6 +1,7 @@
 """Functions against numpy and plain Python."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -193,3 +194,33 @@ def test_delimited_files_and_incremental_loading(spark, tmp_path):
         (folder / f"{i}.csv").write_text(f"a,b\n{i}, {i * i}\n{i + 10},7")
         table = appended(spark, str(folder), schema, str(tmp_path / "table"), str(tmp_path / "check"))
         assert table.count() == 2 * (i + 1)
+
+
+def test_nearest_rows_as_all_pairs_order_them(spark, monkeypatch):
+    """Many rows at one place, ties by key, few rows, no number, several pieces and blocks: as a sort of all pairs."""
+    rng = np.random.default_rng(7)
+    data = [(int(i), float(rng.integers(0, 40)) / 8 if i % 3 else 2.0, int(rng.integers(0, 6))) for i in rng.permutation(900)] + [(901, float("nan"), 1), (902, None, 1)]
+    asked = [(i, float(rng.integers(-8, 60)) / 8, int(rng.integers(0, 6))) for i in range(70)] + [(70, float("nan"), 2)]
+    for most, rows in ((900, data), (100, data), (100, data[:3])):
+        monkeypatch.setattr(ml, "PIECE_ROWS", most)
+        monkeypatch.setattr(ml, "LOOKUP_BLOCK", most)
+        want = []
+        for q, x, y in asked:
+            near = sorted((math.inf if math.isnan(d := (v - x) ** 2 + (w - y) ** 2 / 9.0) else d, i) for i, v, w in rows if v is not None)[:5]
+            want += [(q, i) for _, i in near]
+        df = spark.createDataFrame(rows, "id int, v double, w int").repartition(3)
+        got = ml.nearest(df, spark.createDataFrame(asked, "q int, x double, y int"), {"v": ("x", 1.0), "w": ("y", 9.0)}, "id", "q", 5)
+        assert sorted((r.q, r.id) for r in got.collect()) == sorted(want)
+
+
+def test_neighbours_are_not_sought_among_all_pairs():
+    """A window around a query, not all places, is what is looked at."""
+    rng = np.random.default_rng(8)
+    places, queries = rng.uniform(0, 1e4, (2, 300_000)), rng.uniform(0, 1e4, (2, 2_000))
+    places[1], queries[1] = places[1] // 400, queries[1] // 400
+    began = time.process_time()
+    found, _ = ml._closest(queries, places, np.arange(300_000), [1.0, 9.0], 5)
+    assert time.process_time() - began < 2  # all pairs take over ten
+    for i in range(0, 2_000, 200):
+        d = (places[0] - queries[0, i]) ** 2 + (places[1] - queries[1, i]) ** 2 / 9.0
+        assert found[i].tolist() == np.argsort(d, kind="stable")[:5].tolist()
