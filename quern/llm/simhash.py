@@ -41,6 +41,8 @@ WIDTH, WORD_BITS, SHINGLE_BITS = 5, 8, 20
 CHANCE = 4.0
 #: Sets and shingles of a part of a family; two parts meet in a cell.
 PART, PART_SHINGLES = 256, 1 << 19
+#: Edges that one task connects at once; more are contracted by all tasks first.
+EDGES = 1 << 19
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -239,11 +241,25 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int | None = None, cel
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def _connected(edges: DataFrame) -> DataFrame:
+    """components() of at most EDGES edges (u, v), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([batch.column(c).to_numpy() for c in ("u", "v")]) for batch in batches if batch.num_rows]
+        if held:
+            nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            member, root = _spanned(*ends.reshape(2, -1), len(nodes))  # nodes are in order, so a first row is a smallest node
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[member]), pa.array(nodes[root])], names=["u", "v"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, most: int = 60, few: int = EDGES) -> DataFrame:
     """(node, root): the smallest node that each node of an edge reaches, by alternating large and small stars.
 
     Each round is two aggregations with partial sums and two joins, written to the shared folder; the number of
-    rounds follows the logarithm of the longest chain.
+    rounds follows the logarithm of the longest chain.  Once at most `few` edges are left, one task connects them, so
+    that a small table does not cost the driver the plans and tasks of all rounds.
     """
 
     def digest(df: DataFrame) -> tuple:
@@ -252,6 +268,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = digest(edges)
     for _ in range(most):
+        if before[0] <= few:
+            last, edges = edges, stored(_connected(edges), "edges")
+            forget(last)
+            break
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = split_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -69,3 +69,25 @@ def test_defined_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_small_components_take_few_jobs_and_large_ones_the_same_roots(spark):
+    rng = random.Random(6)
+    ids = [rng.getrandbits(63) - (1 << 62) for _ in range(400)]
+    edges = [(ids[i], ids[i + 1]) for i in range(150)] + [(ids[200], ids[i]) for i in range(201, 290)] + [(ids[rng.randrange(290, 400)], ids[rng.randrange(290, 400)]) for _ in range(80)]
+    frame = spark.createDataFrame([*edges, *edges[:20], (ids[5], ids[5])], "a long, b long")
+    spark.sparkContext.setJobGroup("small", "small")
+    few = simhash.components(frame)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("small"))
+    spark.sparkContext.setJobGroup("large", "large")
+    rounds = sorted(map(tuple, simhash.components(frame, few=-1).collect()))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    reach = {i: {i} for e in edges for i in e}
+    for a, b in edges:
+        if reach[a] is not reach[b]:
+            reach[a] |= reach[b]
+            for i in reach[b]:
+                reach[i] = reach[a]
+    assert sorted(map(tuple, few.collect())) == rounds == sorted((i, min(r)) for i, r in reach.items() if i != min(r))
+    assert 0 < jobs <= 8  # rounds take some dozens
+    assert simhash.components(frame.limit(0)).collect() == []
