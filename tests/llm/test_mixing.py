@@ -202,3 +202,13 @@ def test_few_bits_are_held_at_once():
         peaks.append(tracemalloc.get_traced_memory()[1] / symbols)
         tracemalloc.stop()
     assert max(peaks) < 200, peaks
+
+
+def test_pairs_as_counted_one_by_one(spark):
+    texts = [None, "", "a", "a\0b", "x" * (1 << 20), "é " * (1 << 20), "b"]
+    wanted = Counter()
+    for t in texts:
+        symbols = [m.END, *(t or "").encode(), m.END]
+        wanted.update(zip(symbols, symbols[1:]))
+    got = m.pair_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    assert {(int(a), int(b)): int(got[a, b]) for a, b in zip(*got.nonzero())} == wanted
